@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menuflow.llm import encode, language, packing, visual_text
+from menuflow.llm import encode, language, packing, survivors, visual_text
 from menuflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    records, bundles = survivors.product_bundles(table(spark, d, "products"), table(spark, d, "source_trust"))
+    return survivors.choose_bundles(records, table(spark, d, "duplicate_members"), bundles).select("group_id", F.col("bundle").alias("field"), "record_id")
+
+
+def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors under a dependency: with the name comes its category's product, and its address has to be one of that product_id."""
+    records, bundles = survivors.product_bundles(table(spark, d, "products"), table(spark, d, "source_trust"))
+    named = survivors.Bundle("identity", F.col("product_id").isNotNull() & F.col("name").isNotNull(), [F.col("_trust"), F.unix_date("last_seen_at")], ("product_id", "name", "category"), weight=1)
+    depends = [survivors.Dependency(("identity", "product_id"), ("official_url", "official_url"))]
+    chosen = survivors.choose_bundles(records, table(spark, d, "duplicate_members"), [named, *bundles], depends)
+    return chosen.select("group_id", F.col("bundle").alias("field"), "record_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = visual_text.look_same(table(spark, d, "products"))
     return pairs.select(F.col("record_id_a").alias("record_a"), F.col("record_id_b").alias("record_b"))
@@ -63,6 +77,8 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_consistent": p4_consistent,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
     "p8_ids": p8_ids,
@@ -72,4 +88,24 @@ QUERIES: dict[str, Query] = {
     "p10_found": p10_found,
     "p10_documents": p10_documents,
 }
-ORACLE_SQL: dict[str, str] = {}
+_DAY = r"regexp_replace(regexp_replace(trim(launch_date), '^(\d{4})(\d{2})(\d{2})$', '\1-\2-\3'), '^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?$', '\1-\2-\3')"
+
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": rf"""
+        WITH m AS (SELECT DISTINCT group_id, record_id FROM duplicate_members),
+        p AS (SELECT m.group_id, p.*, coalesce(t.trust, -1) AS trust, coalesce(last_seen_at, date '0001-01-01') AS seen,
+                     len(list_filter(coalesce(price_history, []), lambda e: e.date IS NOT NULL AND e.price > 0)) AS good,
+                     try_cast(CASE WHEN regexp_full_match({_DAY}, '\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN {_DAY} END AS date) AS day
+              FROM m JOIN products p USING (record_id) LEFT JOIN source_trust t ON t.source = p.source),
+        r AS (
+            SELECT group_id, 'first_seen_at' AS field, record_id, row_number() OVER (PARTITION BY group_id ORDER BY first_seen_at, record_id) AS n
+            FROM p WHERE first_seen_at >= timestamp '2015-01-01' AND (last_seen_at IS NULL OR first_seen_at::date <= last_seen_at)
+            UNION ALL
+            SELECT group_id, 'launch_date', record_id, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, seen DESC, record_id) FROM p WHERE year(day) BETWEEN 2015 AND 2026
+            UNION ALL
+            SELECT group_id, 'official_url', record_id, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, seen DESC, record_id)
+            FROM p WHERE regexp_matches(trim(official_url), '^https?://[^/?#\s]+/[^?#\s]*[^/?#\s]', 'i')
+            UNION ALL
+            SELECT group_id, 'price_history', record_id, row_number() OVER (PARTITION BY group_id ORDER BY good DESC, trust DESC, seen DESC, record_id) FROM p WHERE good > 0)
+        SELECT group_id, field, record_id FROM r WHERE n = 1""",
+}
