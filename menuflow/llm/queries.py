@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menuflow.llm import encode, language, packing, survivors, visual_text
+from menuflow.llm import encode, language, name_mapping, packing, survivors, visual_text
 from menuflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,21 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
     return chosen.select("group_id", F.col("bundle").alias("field"), "record_id")
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return name_mapping.map_names(table(spark, d, "name_entries"), table(spark, d, "menu_reference"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("entry_id", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Names that mean no listed item, with how many entries have them."""
+    none = _mapped(spark, d).where("ref_id = -1").select("entry_id")
+    entries = table(spark, d, "name_entries").select("entry_id", "chain", "name").distinct()
+    return entries.join(none, "entry_id", "left_semi").groupBy("chain", "name").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = visual_text.look_same(table(spark, d, "products"))
     return pairs.select(F.col("record_id_a").alias("record_a"), F.col("record_id_b").alias("record_b"))
@@ -79,6 +94,8 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_consistent": p4_consistent,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
     "p7_found": p7_found,
     "p7_forms": p7_forms,
     "p8_ids": p8_ids,
