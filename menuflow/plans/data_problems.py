@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menuflow.operators import attribute_history, shred, snapshot_diff, units
+from menuflow.plans.observation import plain_sql
 from menuflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +75,28 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_notations": p6_notations,
 }
+
+
+_SNAPSHOTS = f"""runs AS (SELECT chain, run_date, max(run_seq) AS run_seq FROM snapshot_runs WHERE ok GROUP BY ALL),
+    r AS (SELECT *, lag(run_date) OVER (PARTITION BY chain ORDER BY run_date) AS prev FROM runs),
+    l AS (SELECT DISTINCT ON (s.chain, s.run_date, pid) s.chain, s.run_date, {plain_sql("product_id")} AS pid, price, {plain_sql("status")} AS status
+          FROM product_snapshots s JOIN runs USING (chain, run_date, run_seq) WHERE product_id IS NOT NULL ORDER BY s.chain, s.run_date, pid, page_ord, card_ord),
+    now AS (SELECT r.chain, r.run_date, l.pid, l.price, l.status FROM r JOIN l ON l.chain = r.chain AND l.run_date = r.run_date WHERE prev IS NOT NULL),
+    old AS (SELECT r.chain, r.run_date, l.pid, l.price, l.status FROM r JOIN l ON l.chain = r.chain AND l.run_date = r.prev),
+    diff AS (SELECT coalesce(n.chain, o.chain) AS chain, coalesce(n.pid, o.pid) AS product_id, strftime(coalesce(n.run_date, o.run_date), '%Y-%m-%d') AS run_date,
+                    CASE WHEN o.pid IS NULL THEN 'added' WHEN n.pid IS NULL THEN 'removed' ELSE 'changed' END AS change,
+                    CASE WHEN o.pid IS NULL OR n.pid IS NULL THEN '' ELSE concat_ws(',', CASE WHEN n.price IS DISTINCT FROM o.price THEN 'price' END, CASE WHEN n.status IS DISTINCT FROM o.status THEN 'status' END) END AS fields
+             FROM now n FULL JOIN old o ON n.chain = o.chain AND n.run_date = o.run_date AND n.pid = o.pid
+             WHERE o.pid IS NULL OR n.pid IS NULL OR n.price IS DISTINCT FROM o.price OR n.status IS DISTINCT FROM o.status)"""
+_HISTORY = f"""u AS (SELECT DISTINCT ON (chain, pid, observed_at) chain, {plain_sql("product_id")} AS pid, observed_at, price, {plain_sql("status")} AS status FROM product_updates
+          WHERE product_id IS NOT NULL AND observed_at IS NOT NULL ORDER BY chain, pid, observed_at, received_at DESC, update_id DESC),
+    k AS (SELECT chain, pid, observed_at, last_value(price IGNORE NULLS) OVER w AS price, last_value(status IGNORE NULLS) OVER w AS status FROM u WINDOW w AS (PARTITION BY chain, pid ORDER BY observed_at)),
+    c AS (SELECT *, lag(price) OVER w AS p0, lag(status) OVER w AS s0 FROM k WINDOW w AS (PARTITION BY chain, pid ORDER BY observed_at)),
+    v AS (SELECT *, lead(observed_at) OVER (PARTITION BY chain, pid ORDER BY observed_at) AS until FROM c WHERE price IS DISTINCT FROM p0 OR status IS DISTINCT FROM s0)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_SNAPSHOTS} SELECT chain, product_id, run_date, change FROM diff",
+    "p1_changed_fields": f"WITH {_SNAPSHOTS} SELECT chain, change, fields, count(*) AS n, min(run_date) AS first_date, max(run_date) AS last_date FROM diff GROUP BY ALL",
+    "p2_found": f"WITH {_HISTORY} SELECT chain, pid AS product_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), '') AS valid_to, price::bigint AS price, status FROM v",
+    "p2_as_of": f"WITH {_HISTORY} SELECT chain, pid AS product_id, price::bigint AS price, status FROM v WHERE observed_at <= timestamp '2026-03-01' AND coalesce(until, timestamp '9999-01-01') > timestamp '2026-03-01'",
+}
