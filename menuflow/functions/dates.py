@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where there is no such day."""
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
 
 
 def yearless_date(month: Column, day: Column, reference: Column, reach: int = 200) -> Column:

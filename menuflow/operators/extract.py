@@ -131,15 +131,19 @@ def variant_prices(variants: Column, first: str) -> Column:
 def primary_variant(variants: Column, labels: Sequence[str]) -> Column:
     """The variant that stands for an item: the first labelled as one of ``labels`` (in their order; an empty one means
     unlabelled), then one whose label contains it, then the first."""
-    exact = [F.get(F.filter(variants, lambda v, x=x: F.coalesce(v["label"], F.lit("")) == x), F.lit(0)) for x in labels]
-    within = [F.get(F.filter(variants, lambda v, x=x: F.contains(v["label"], F.lit(x))), F.lit(0)) for x in labels if x]
+    pick = lambda fits: F.get(F.filter(variants, fits), F.lit(0))
+    labelled_as = lambda x: lambda v: F.coalesce(v["label"], F.lit("")) == F.lit(x)
+    containing = lambda x: lambda v: F.contains(v["label"], F.lit(x))
+    exact = [pick(labelled_as(x)) for x in labels]
+    within = [pick(containing(x)) for x in labels if x]
     return F.coalesce(*exact, *within, F.get(variants, F.lit(0)))
 
 
 def thumbnail(images: Column, sizes: Sequence[str], low: int = 300, high: int = 700) -> Column:
     """The address of an article's picture: the first of the preferred ``sizes`` with a width in between, else the narrowest
     of at least ``low``, else the first."""
-    fit = [F.get(F.filter(images, lambda i, s=s: (i["size"] == s) & i["width"].between(low, high)), F.lit(0))["url"] for s in sizes]
+    of_size = lambda s: lambda i: (i["size"] == F.lit(s)) & i["width"].between(low, high)
+    fit = [F.get(F.filter(images, of_size(s)), F.lit(0))["url"] for s in sizes]
     wide = F.array_min(F.transform(F.filter(images, lambda i: i["width"] >= low), lambda i: F.struct(i["width"], i["url"])))["url"]
     return F.coalesce(*fit, wide, F.get(images, F.lit(0))["url"])
 
