@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from menuflow.functions.plain import plain_form
+from menuflow.session import cut_lineage
 
 WEEK = 7 * 86400
 
@@ -51,7 +52,7 @@ def build_history(
     precedence: Sequence[str] = ("received_at", "update_id"),
     period_seconds: int = WEEK,
 ) -> HistoryStore:
-    """Reduce observations to patches and checkpoints.
+    """Reduce observations to patches and checkpoints; the patches are written once, both tables are read from them.
 
     Of observations of a key with equal ``at`` only the one with the greatest ``precedence`` (nulls
     lowest), then the greatest values, stands, as a whole. A null attribute says nothing. Rows without
@@ -73,7 +74,7 @@ def build_history(
     sets = {f"set_{a}": F.when(F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(f"_was_{a}")), F.col(a)) for a in attributes}
     firsts = {f"_first_{a}": F.col(a).isNotNull() & F.col(f"_was_{a}").isNull() for a in attributes}
     any_set = F.coalesce(*(F.col(f"set_{a}").cast("string") for a in attributes)).isNotNull()
-    patches = known.select(*keys, "_period", "at", *(v.alias(c) for c, v in (sets | firsts).items())).where(any_set)
+    patches = cut_lineage(known.select(*keys, "_period", "at", *(v.alias(c) for c, v in (sets | firsts).items())).where(any_set))
 
     summary: list[Column] = []
     for a in attributes:
