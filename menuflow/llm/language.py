@@ -5,8 +5,8 @@ own most frequent n-grams are compared with each profile by the out-of-place dis
 over its n-grams, of how far their ranks lie apart, with a fixed penalty for n-grams that the
 profile lacks. The nearest profile wins; the confidence is the margin to the next.
 
-Profiles are fitted on a bounded sample of labelled rows (``sample_rows``, the smallest hashes of
-the keys), twice: the second time with the languages that the first profiles give the
+Profiles are fitted on a bounded sample of labelled rows (``sample_rows`` of each language, those with the
+smallest hashes of the keys), twice: the second time with the languages that the first profiles give the
 sample's paragraphs, so wrong labels and mixed documents don't blur them. Then every document is
 judged, whole, in one pass without a shuffle. The profiles are languages x ``size`` entries.
 """
@@ -38,21 +38,14 @@ def paragraphs(text: str | None) -> list[str]:
     return [p for p in BREAK.split(text or "") if p.strip()]
 
 
-def grams(text: str, longest: int = 3) -> Counter:
-    """How often each n-gram of 1 to ``longest`` signs stands in the words of ``text``; words in alphabets are padded."""
+def grams(text: str, longest: int = 3) -> list[str]:
+    """The n-grams of 1 to ``longest`` signs in the words of ``text``, as often as they stand there; words in alphabets are padded."""
     found: list[str] = []
     for word in WORDS.findall(NOISE.sub(" ", text).lower()):
         w = word if SCRIPT.search(word) else f"_{word}_"
         for n in range(1, longest + 1):
             found += [w[i : i + n] for i in range(len(w) - n + 1)]
-    counts = Counter(found)
-    del counts["_"]
-    return counts
-
-
-def ranked(counts: dict[str, int], size: int) -> list[str]:
-    """The ``size`` most frequent n-grams, ties in code-point order."""
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    return found
 
 
 def _mainly_asian(text: str) -> bool:
@@ -72,24 +65,30 @@ class Judge:
         self.ranks = np.array([[profiles[lang].get(g, -1) for lang in self.languages] for g in every], np.float64).reshape(len(every), len(self.languages))
         self.asian = {lang for lang in self.languages if sum(bool(SCRIPT.match(g)) for g in profiles[lang]) * 2 > len(profiles[lang])}
 
-    def distances(self, counts: Counter) -> np.ndarray | None:
-        """The mean out-of-place distance to each profile, from 0 to ``size``; n-grams that are equally frequent share their mean rank."""
-        if not counts or not self.languages:
+    def distances(self, found: list[str]) -> np.ndarray | None:
+        """The mean out-of-place distance to each profile, from 0 to ``size``, over the ``size`` most frequent n-grams (ties in code-point
+        order); equally frequent ones share their mean rank. None without any n-gram that a profile has."""
+        counts = Counter(found)
+        counts.pop("_", None)
+        if len(counts) > self.size:
+            least = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - self.size)[len(counts) - self.size])
+            own = [g for g, n in counts.items() if n > least]
+            own += sorted(g for g, n in counts.items() if n == least)[: self.size - len(own)]
+        else:
+            own = list(counts)
+        known = self.row
+        at = [(known[g], i) for i, g in enumerate(own) if g in known]
+        if not at:
             return None
-        own = ranked(counts, self.size) if len(counts) > self.size else list(counts)
-        times, inverse, many = np.unique(np.fromiter((counts[g] for g in own), np.int64, len(own)), return_inverse=True, return_counts=True)
-        above = len(own) - np.cumsum(many)
-        mean = (above + (many - 1) / 2)[inverse]
-        at = [(self.row[g], i) for i, g in enumerate(own) if g in self.row]
-        total = np.full(len(self.languages), float((len(own) - len(at)) * self.size))
-        if at:
-            rows, places = np.array(at).T
-            r = self.ranks[rows]
-            total += np.where(r < 0, self.size, np.abs(r - mean[places][:, None])).sum(0)
-        return total / len(own)
+        _, inverse, many = np.unique(np.fromiter((counts[g] for g in own), np.int64, len(own)), return_inverse=True, return_counts=True)
+        mean = (len(own) - np.cumsum(many) + (many - 1) / 2)[inverse]
+        rows, places = np.array(at).T
+        r = self.ranks[rows]
+        total = np.where(r < 0, self.size, np.abs(r - mean[places][:, None])).sum(0)
+        return (total + (len(own) - len(at)) * self.size) / len(own)
 
     def __call__(self, text: str, close: float = 0.05) -> tuple[str | None, float, dict[str, float]]:
-        """(language, confidence, distances); no language for a text without words.
+        """(language, confidence, distances); no language for a text without words or without any n-gram of the profiles.
 
         The confidence is four times the relative margin to the next language, at most 1. If two languages of different
         scripts lie within ``close`` of each other, letters decide: those of the last word's script count five more, Asian ones half as much again.
@@ -127,10 +126,11 @@ def _top(counted: DataFrame, size: int, ratio: float) -> dict[str, Profile]:
     return dict(found)
 
 
-def fit_profiles(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", languages: Sequence[str] = LANGUAGES, size: int = 400, sample_rows: int = 20_000, ratio: float = 0.5) -> dict[str, Profile]:
-    """The profiles of ``languages``, fitted on at most ``sample_rows`` labelled rows; languages nobody labelled have none."""
+def fit_profiles(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", languages: Sequence[str] = LANGUAGES, size: int = 400, sample_rows: int = 1000, ratio: float = 0.5) -> dict[str, Profile]:
+    """The profiles of ``languages``, fitted on at most ``sample_rows`` labelled rows of each, those with the smallest hash of the key; languages nobody labelled have none."""
     labelled = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text"), language_part(F.col(lang)).alias("lang")).where(F.col("lang").isin(*languages) & (F.length("text") > 0))
-    chosen = labelled.orderBy(F.xxhash64("doc"), "doc", "text").limit(sample_rows)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc", "text")
+    chosen = labelled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("doc", "text", "lang").repartition("doc")
 
     def count(profiles: dict[str, Profile] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
