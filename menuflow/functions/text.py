@@ -44,13 +44,13 @@ def escape_html(c: Column) -> Column:
 
 
 def first_sentence(c: Column, stop: str = "。", limit: int = 100) -> Column:
-    """A short description: leading 【...】 and lines that begin with ※ go; the first sentence, with its stop; at most
-    ``limit`` signs, the last then an ellipsis."""
-    lines = F.filter(F.split(F.regexp_replace(c, r"^(?:【[^】]*】)+", ""), "\n"), lambda x: ~x.startswith("※") & (F.trim(x) != ""))
-    joined = F.array_join(lines, "")
-    at = F.locate(stop, joined)
-    sentence = F.when(at > 0, F.substring(joined, F.lit(1), at + len(stop) - 1)).otherwise(joined)
-    return F.when(F.length(sentence) > limit, F.concat(F.substring(sentence, 1, limit - 1), F.lit("…"))).otherwise(sentence)
+    """A short description: leading 【...】 and lines that begin with ※ or 【...】 go; of the first line left the first sentence, with
+    its stop; at most ``limit`` signs, the last then an ellipsis. Null where nothing is left."""
+    lines = F.transform(F.split(F.regexp_replace(c, r"^(?:【[^】]*】\s*)+", ""), "\n"), lambda x: F.trim(x))
+    first = F.get(F.filter(lines, lambda x: (x != "") & ~x.startswith("※") & ~x.rlike(r"^【[^】]*】")), F.lit(0))
+    at = F.locate(stop, first)
+    sentence = F.when(at > 0, F.substring(first, F.lit(1), at + len(stop) - 1)).otherwise(first)
+    return F.when(F.length(sentence) > limit, F.concat(F.rtrim(F.substring(sentence, 1, limit - 1)), F.lit("…"))).otherwise(sentence)
 
 
 def quotes(c: Column) -> Column:
@@ -69,14 +69,19 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+# The signs that the keys of titles and of review names leave out.
+TITLE_SIGNS = r"[\s「」『』\"“”'’・＜＞<>()（）【】]+"
+REVIEW_SIGNS = r"[\s　・:：/／,、。.!！?？\-—―~〜()（）\[\]【】「」『』\"'’”×%!®™©]+"
+
+
 def match_key(c: Column) -> Column:
-    """Key for titles: compatibility form, no blanks, quotes, brackets, dots or dashes of any kind."""
-    return F.regexp_replace(nfkc(c), r"(?U)[\s「」『』【】\[\]()（）・･.,、。!！?？\-‐―ー~〜]+", "")
+    """Key for titles: compatibility form, without blanks, quotes and brackets, lower case."""
+    return F.lower(F.regexp_replace(nfkc(c), "(?U)" + TITLE_SIGNS, ""))
 
 
 def review_key(c: Column) -> Column:
-    """Key for review names: as :func:`match_key`, lower case."""
-    return F.lower(match_key(c))
+    """Key for review names: compatibility form, also without dashes, stops and other signs, lower case."""
+    return F.lower(F.regexp_replace(nfkc(c), "(?U)" + REVIEW_SIGNS, ""))
 
 
 def table_key(c: Column) -> Column:

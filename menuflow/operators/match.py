@@ -100,3 +100,65 @@ def distinguishing(rows: DataFrame, *, group: Sequence[str], labels: Sequence[st
     n = F.count(F.lit(1))
     pick = F.coalesce(*(F.when((F.count(c) == n) & (F.count_distinct(c) == n), F.lit(c)) for c in labels))
     return rows.groupBy(*group).agg(n.alias("n"), pick.alias("label")).where("n > 1")
+
+
+def quote_keys(title: Column, split: str | None = None, drop_brackets: bool = False) -> Column:
+    """The quoted names of a title, also split on a sign and without what stands in brackets, each once."""
+    from menuflow.functions.text import quotes
+
+    found = quotes(title)
+    if drop_brackets:
+        found = F.concat(found, F.transform(found, lambda q: F.regexp_replace(q, r"[（(][^）)]*[）)]", "")))
+    if split:
+        found = F.concat(found, F.flatten(F.transform(found, lambda q: F.split(q, split))))
+    return F.array_distinct(F.filter(found, lambda q: F.length(q) >= 2))
+
+
+def launches(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: str, name: Column, reference: str, title: str, date: str, before: int = 120, after: int = 14, words: str, no_words: str, split: str | None = None, drop_brackets: bool = False, least: int = 4) -> DataFrame:
+    """(scope, key, date, title, launch): the latest announcement within the window that names the item.
+
+    An announcement counts if it has a launch word and none of the others. It names an item if a quoted text has the item's
+    key (an equi-join of exploded quotes) or, without any quotes, if it contains a name of at least ``least`` signs (blocked by
+    the name's first signs). ``launch`` is the day the headline tells, near the announcement's.
+    """
+    from menuflow.functions.dates import headline_date
+    from menuflow.functions.text import match_key
+
+    told = news.where(F.col(title).rlike(words) & ~F.col(title).rlike(no_words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title"), quote_keys(F.col(title), split, drop_brackets).alias("_q"))
+    named = items.select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.col("_k") != "")
+    exact = told.select(*scope, "date", "title", F.explode("_q").alias("_quote")).withColumn("_k", match_key(F.col("_quote"))).join(named, [*scope, "_k"])
+    loose = told.where(F.size("_q") == 0).withColumn("_t", match_key(F.col("title")))
+    runs = loose.where(F.length("_t") >= least).select(*scope, "date", "title", "_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - (least - 1)), lambda i: F.substring(F.col("_t"), i, F.lit(least))))).alias("_run"))
+    heads = named.where(F.length("_k") >= least).withColumn("_run", F.substring("_k", 1, least))
+    within = runs.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k"))
+    columns = [*scope, key, "_ref", "date", "title"]
+    hit = exact.select(*columns).unionByName(within.select(*columns)).where(in_window(F.col("date"), F.col("_ref"), before, after))
+    best = hit.groupBy(*scope, key).agg(F.max(F.struct("date", "title")).alias("_b")).select(*scope, key, "_b.date", "_b.title")
+    return best.withColumn("launch", headline_date(F.col("title"), F.col("date")))
+
+
+def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str], key: str, name: Column, launch: str, review: str, review_name: Column, date: str, least: int = 6, early: int = 14) -> DataFrame:
+    """(scope, key, review): reviews of an item: equal names, or the shorter (of at least ``least`` signs) within the longer; not if the item
+    was launched more than ``early`` days after the review. Both directions are equi-joins on first signs."""
+    from menuflow.functions.text import review_key
+
+    a = items.select(*scope, key, F.col(launch).alias("_launch"), review_key(name).alias("_a")).where(F.col("_a") != "")
+    b = reviews.select(*scope, review, F.col(date).alias("_date"), review_key(review_name).alias("_b")).where(F.col("_b") != "")
+    columns = [*scope, key, review, "_launch", "_date"]
+
+    def runs(df: DataFrame, c: str) -> DataFrame:
+        return df.where(F.length(c) >= least).withColumn("_run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (least - 1)), lambda i: F.substring(F.col(c), i, F.lit(least))))))
+
+    def heads(df: DataFrame, c: str) -> DataFrame:
+        return df.where(F.length(c) >= least).withColumn("_run", F.substring(c, 1, least))
+
+    equal = a.join(b.withColumn("_a", F.col("_b")), [*scope, "_a"]).select(*columns)
+    inside = runs(b, "_b").join(heads(a, "_a"), [*scope, "_run"]).where(F.contains("_b", "_a")).select(*columns)
+    around = runs(a, "_a").join(heads(b, "_b"), [*scope, "_run"]).where(F.contains("_a", "_b")).select(*columns)
+    late = F.datediff("_launch", "_date") > early
+    return equal.unionByName(inside).unionByName(around).where(~F.coalesce(late, F.lit(False))).select(*scope, key, review).distinct()
+
+
+def unmatched(items: DataFrame, found: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """Items that still lack a launch and have no match yet: what the next run tries again."""
+    return items.where("launch_date is null and not coalesce(is_regular, false)").join(found.select(*keys), [*keys], "left_anti")

@@ -133,10 +133,10 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("""WITH x AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT starts_with(l, '※') AND trim(l, ' ') <> ''), '') AS t FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '【')),
-    s AS (SELECT doc_id, CASE WHEN instr(t, '。') > 0 THEN substr(t, 1, instr(t, '。')) ELSE t END AS s FROM x) SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 99) || '…' ELSE s END AS sentence FROM s""")
+@R.add(r"""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '^(?:【[^】]*】\s*)+', ''), chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '' AND NOT starts_with(l, '※') AND NOT regexp_matches(l, '^【[^】]*】'))[1] AS t FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, CASE WHEN instr(t, '。') > 0 THEN substr(t, 1, instr(t, '。')) ELSE t END AS s FROM x) SELECT doc_id, CASE WHEN length(s) > 100 THEN rtrim(substr(s, 1, 99), ' ') || '…' ELSE s END AS sentence FROM s""")
 def first_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null and not startswith(text, '【')").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
 
 
 @R.add(r"SELECT p_brand AS brand, regexp_replace(lower(p_name), '[\s-]+', '', 'g') AS key, count(*) AS n FROM part GROUP BY ALL")

@@ -18,7 +18,7 @@ PRODUCT = (
     f"first_seen_at string, last_seen_at string, status string, ended_observed_at string, missed_runs int, price_history {PRICE}, is_regular boolean, source_list array<string>"
 )
 # Words of pages that a bot guard serves instead of the page.
-CHALLENGE = ("just a moment", "attention required", "captcha", "access denied", "checking your browser", "cf-challenge", "are you a robot")
+CHALLENGE = ("incapsula", "imperva", "_incap_", "request unsuccessful", "just a moment", "cf-chl", "access denied")
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
