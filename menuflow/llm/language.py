@@ -129,8 +129,9 @@ def _top(counted: DataFrame, size: int, ratio: float) -> dict[str, Profile]:
 def fit_profiles(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", languages: Sequence[str] = LANGUAGES, size: int = 400, sample_rows: int = 1000, ratio: float = 0.5) -> dict[str, Profile]:
     """The profiles of ``languages``, fitted on at most ``sample_rows`` labelled rows of each, those with the smallest hash of the key; languages nobody labelled have none."""
     labelled = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text"), language_part(F.col(lang)).alias("lang")).where(F.col("lang").isin(*languages) & (F.length("text") > 0))
+    tasks = min(64, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows, but each costs time
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc", "text")
-    chosen = labelled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("doc", "text", "lang").repartition("doc")
+    chosen = labelled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("doc", "text", "lang").repartition(tasks, "doc")
 
     def count(profiles: dict[str, Profile] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
