@@ -150,6 +150,11 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(same), F.lit(0))
 
 
+def runs(c: Column, n: int) -> Column:
+    """Every run of ``n`` signs of a text, each once, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def url_parts(c: Column) -> Column:
     """(scheme, host, path, query) of an absolute address; the host in lower case without www. or m.; fields empty where absent."""
     part = lambda i: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from menuflow.functions.text import runs
+
 
 def in_window(date: Column, reference: Column, before: int, after: int) -> Column:
     """Within ``before`` days before and ``after`` days after the reference."""
@@ -42,14 +44,13 @@ def contained_in(names: DataFrame, texts: DataFrame, *, name: str, text: str, na
     """(name_keys, text_keys): texts that contain a name of at least ``block`` signs, as an equi-join.
 
     Texts give every run of ``block`` signs once, names their first one; a common run is a candidate, which is then
-    held against the whole name. Candidates grow with true beginnings, not with names times texts. Runs that no name begins
-    with are dropped by the join itself; texts are joined back by key only for the candidates.
+    held against the whole name. Candidates grow with true beginnings, not with names times texts. Only keys and runs travel;
+    runs that no name begins with are dropped by the join, and the texts are joined back by key for the candidates.
     """
     heads = names.where(F.length(name) >= block).select(*name_keys, F.col(name).alias("_name"), F.substring(F.col(name), 1, block).alias("_run"))
-    runs = texts.where(F.length(text) >= block).select(
-        *text_keys, F.col(text).alias("_text"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (block - 1)), lambda i: F.substring(F.col(text), i, F.lit(block))))).alias("_run")
-    )
-    return runs.join(heads, "_run").where(F.contains("_text", "_name")).select(*name_keys, *text_keys).distinct()
+    found = texts.select(*text_keys, F.explode(runs(F.col(text), block)).alias("_run")).join(heads, "_run").select(*name_keys, "_name", *text_keys)
+    whole = texts.select(*text_keys, F.col(text).alias("_text"))
+    return found.join(whole, [*text_keys]).where(F.contains("_text", "_name")).select(*name_keys, *text_keys).distinct()
 
 
 def quoted_matches(items: DataFrame, news: DataFrame, *, name: str, quotes: Column, item_keys: Sequence[str], news_keys: Sequence[str]) -> DataFrame:
@@ -128,9 +129,9 @@ def launches(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: st
     named = items.select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.col("_k") != "")
     exact = told.select(*scope, "date", "title", F.explode("_q").alias("_quote")).withColumn("_k", match_key(F.col("_quote"))).join(named, [*scope, "_k"])
     loose = told.where(F.size("_q") == 0).withColumn("_t", match_key(F.col("title")))
-    runs = loose.where(F.length("_t") >= least).select(*scope, "date", "title", "_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - (least - 1)), lambda i: F.substring(F.col("_t"), i, F.lit(least))))).alias("_run"))
+    parts = loose.select(*scope, "date", "title", "_t", F.explode(runs(F.col("_t"), least)).alias("_run"))
     heads = named.where(F.length("_k") >= least).withColumn("_run", F.substring("_k", 1, least))
-    within = runs.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k"))
+    within = parts.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k"))
     columns = [*scope, key, "_ref", "date", "title"]
     hit = exact.select(*columns).unionByName(within.select(*columns)).where(in_window(F.col("date"), F.col("_ref"), before, after))
     best = hit.groupBy(*scope, key).agg(F.max(F.struct("date", "title")).alias("_b")).select(*scope, key, "_b.date", "_b.title")
@@ -146,15 +147,15 @@ def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str],
     b = reviews.select(*scope, review, F.col(date).alias("_date"), review_key(review_name).alias("_b")).where(F.col("_b") != "")
     columns = [*scope, key, review, "_launch", "_date"]
 
-    def runs(df: DataFrame, c: str) -> DataFrame:
-        return df.where(F.length(c) >= least).withColumn("_run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (least - 1)), lambda i: F.substring(F.col(c), i, F.lit(least))))))
+    def parts(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumn("_run", F.explode(runs(F.col(c), least)))
 
     def heads(df: DataFrame, c: str) -> DataFrame:
         return df.where(F.length(c) >= least).withColumn("_run", F.substring(c, 1, least))
 
     equal = a.join(b.withColumn("_a", F.col("_b")), [*scope, "_a"]).select(*columns)
-    inside = runs(b, "_b").join(heads(a, "_a"), [*scope, "_run"]).where(F.contains("_b", "_a")).select(*columns)
-    around = runs(a, "_a").join(heads(b, "_b"), [*scope, "_run"]).where(F.contains("_a", "_b")).select(*columns)
+    inside = parts(b, "_b").join(heads(a, "_a"), [*scope, "_run"]).where(F.contains("_b", "_a")).select(*columns)
+    around = parts(a, "_a").join(heads(b, "_b"), [*scope, "_run"]).where(F.contains("_a", "_b")).select(*columns)
     late = F.datediff("_launch", "_date") > early
     return equal.unionByName(inside).unionByName(around).where(~F.coalesce(late, F.lit(False))).select(*scope, key, review).distinct()
 
