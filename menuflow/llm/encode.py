@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from menuflow.session import spread
+
 TOKENIZER_FOLDER = "/opt/tokenizers"
 #: A public pattern: how the tokenizer splits text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,7 +124,7 @@ def _cut(documents: DataFrame, doc: str, text: str, mean: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc", "version", "pos", "piece"])
 
     kind = documents.schema[doc].dataType.simpleString()
-    given = documents.select(F.col(doc).alias("d"), F.xxhash64(text).alias("v"), F.col(text).alias("t"))
+    given = spread(documents.select(F.col(doc).alias("d"), F.xxhash64(text).alias("v"), F.col(text).alias("t")))
     return given.mapInPandas(run, f"doc {kind}, version bigint, pos int, piece string")
 
 

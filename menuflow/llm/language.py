@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from menuflow.session import spread
+
 LANGUAGES = ("ja", "en", "zh", "ko", "fr", "de", "es", "pt")
 #: Markup, entities and addresses tell nothing about the language around them.
 NOISE = re.compile(r"https?://[!-~]+|<[^<>]{1,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|[!-?A-~]+@[!-?A-~]+")
@@ -189,7 +191,7 @@ def identify(
             yield pd.DataFrame(out, columns=["doc", "label", "paragraph", "lang", "confidence", "chars", "mixed"])
 
     kind = documents.schema[doc].dataType.simpleString()
-    given = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), language_part(F.col(lang)).alias("l"), F.col(text).alias("t"))
+    given = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), language_part(F.col(lang)).alias("l"), F.col(text).alias("t")))
     found = given.mapInPandas(run, f"doc {kind}, label string, paragraph int, lang string, confidence double, chars bigint, mixed boolean")
     return found.withColumnRenamed("doc", doc)
 
