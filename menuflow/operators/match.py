@@ -81,19 +81,33 @@ def siblings(items: DataFrame, *, group: Sequence[str], key: str) -> DataFrame:
     return by.where("n > 1")
 
 
-def nearest_in_order(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int) -> DataFrame:
+def nearest_in_order(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, bins: int = 16) -> DataFrame:
     """(scope, key, near, distance, rank): for each item its ``k`` nearest of the scope by ``value``, ties by key.
 
     The k nearest of a value stand among the k before and the k after it in sorted order, so two windows give all candidates:
-    2k per item, whatever the size of the scope, and no pair of the scope is formed otherwise. Items with a tie at the
-    k-th distance keep the smallest keys among the neighbours in order.
+    2k per item, and no other pair is formed. A scope is cut into ``bins`` at approximate quantiles, so that a hot one
+    isn't sorted in one task; each bin borrows the k rows before and after it, which are at most 2 x bins x k rows a scope.
+    Items with a null value or key are left out; at the k-th distance the smallest keys among the neighbours in order are kept.
     """
-    w = Window.partitionBy(*scope).orderBy(value, key)
-    near = [F.struct(F.lag(key, i).over(w).alias("near"), F.lag(value, i).over(w).alias("_v")) for i in range(1, k + 1)]
-    near += [F.struct(F.lead(key, i).over(w).alias("near"), F.lead(value, i).over(w).alias("_v")) for i in range(1, k + 1)]
-    listed = items.select(*scope, key, value, F.filter(F.array(*near), lambda x: x["near"].isNotNull()).alias("_n"))
-    ranked = F.slice(F.array_sort(F.transform("_n", lambda x: F.struct(F.abs(x["_v"] - F.col(value)).alias("distance"), x["near"].alias("near")))), 1, k)
-    return listed.select(*scope, key, F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
+    told = items.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*scope, F.col(key).alias("_k"), F.col(value).alias("_v"))
+    cuts = told.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 1000).alias("_q"))
+    binned = told.join(cuts, [*scope]).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_v")))).select(*scope, "_bin", "_k", "_v")
+
+    def edge(ascending: bool) -> DataFrame:
+        order = [F.asc("_v"), F.asc("_k")] if ascending else [F.desc("_v"), F.desc("_k")]
+        first = binned.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+        others = F.sequence(F.lit(0), F.col("_bin") - 1) if ascending else F.sequence(F.col("_bin") + 1, F.lit(bins - 1))
+        has = (F.col("_bin") > 0) if ascending else (F.col("_bin") < bins - 1)
+        lent = first.where(has).withColumn("_bin", F.explode(others))
+        return lent.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+    lent = edge(True).unionByName(edge(False)).withColumn("_own", F.lit(False))
+    rows = binned.withColumn("_own", F.lit(True)).unionByName(lent)
+    w = Window.partitionBy(*scope, "_bin").orderBy("_v", "_k")
+    near = [F.struct(f("_k", i).over(w).alias("near"), f("_v", i).over(w).alias("_v")) for f in (F.lag, F.lead) for i in range(1, k + 1)]
+    listed = rows.select(*scope, "_own", "_k", "_v", F.filter(F.array(*near), lambda x: x["near"].isNotNull()).alias("_n")).where("_own")
+    ranked = F.slice(F.array_sort(F.transform("_n", lambda x: F.struct(F.abs(x["_v"] - F.col("_v")).alias("distance"), x["near"].alias("near")))), 1, k)
+    return listed.select(*scope, F.col("_k").alias(key), F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
 
 
 def distinguishing(rows: DataFrame, *, group: Sequence[str], labels: Sequence[str]) -> DataFrame:

@@ -109,14 +109,30 @@ def test_variants(spark, rows):
 
 def test_launches_and_reviews(spark, rows):
     day = lambda m, d: dt.date(2026, m, d)
-    items = spark.createDataFrame([("c", "1", "合成ロース丼", day(3, 10)), ("c", "2", "合成餃子", day(3, 10)), ("c", "3", "合成つけめん", day(3, 10))], "chain string, id string, name string, ref date")
+    items = spark.createDataFrame([("c", "1", "試作しょうが丼", day(3, 10)), ("c", "2", "試作えび餃子", day(3, 10)), ("c", "3", "試作ごま麺", day(3, 10))], "chain string, id string, name string, ref date")
     news = spark.createDataFrame(
-        [("c", day(3, 1), "「合成ロース丼（大）・合成餃子」3月5日より新発売！"), ("c", day(3, 2), "「合成ロース丼」販売終了、新発売もあり"), ("c", day(3, 8), "本日、合成つけめん登場"), ("c", day(6, 1), "「合成餃子」新発売"), ("d", day(3, 1), "「合成餃子」新発売")],
+        [("c", day(3, 1), "「試作しょうが丼（大）・試作えび餃子」3月5日より新発売！"), ("c", day(3, 2), "「試作しょうが丼」販売終了、新発売もあり"), ("c", day(3, 8), "本日、試作ごま麺登場"), ("c", day(6, 1), "「試作えび餃子」新発売"), ("d", day(3, 1), "「試作えび餃子」新発売")],
         "chain string, date date, title string",
     )
     how = {"scope": ["chain"], "key": "id", "name": F.col("name"), "reference": "ref", "title": "title", "date": "date", "words": "発売|登場", "no_words": "終了"}
     found = match.launches(items, news, **how, split="・", drop_brackets=True)
     assert rows(found.select("id", "date", "launch")) == [("1", day(3, 1), day(3, 5)), ("2", day(3, 1), day(3, 5)), ("3", day(3, 8), day(3, 8))]
-    reviews = spark.createDataFrame([("c", 1, "合成ロース丼", day(3, 12)), ("c", 2, "期間限定の合成ロース丼を食べた", day(3, 12)), ("c", 3, "合成", day(3, 12)), ("c", 4, "合成ロース丼", day(1, 1)), ("c", 5, "合成つけめ", day(3, 12))], "chain string, rid int, dish string, date date")
+    reviews = spark.createDataFrame([("c", 1, "試作しょうが丼", day(3, 12)), ("c", 2, "期間限定の試作しょうが丼を食べた", day(3, 12)), ("c", 3, "試作", day(3, 12)), ("c", 4, "試作しょうが丼", day(1, 1)), ("c", 5, "試作ごま", day(3, 12))], "chain string, rid int, dish string, date date")
     linked = match.review_links(items, reviews, scope=["chain"], key="id", name=F.col("name"), launch="ref", review="rid", review_name=F.col("dish"), date="date")
     assert rows(linked.select("id", "rid")) == [("1", 1), ("1", 2)]
+
+
+def test_nearest_neighbours_do_not_depend_on_bins(spark, rows):
+    import random
+
+    rnd = random.Random(1)
+    data = [(rnd.choice("aab"), i, float(rnd.randint(0, 40))) for i in range(200)] + [("z", 1, 1.0), ("y", 5, None)]
+    expected = []
+    for s in "abz":
+        r = sorted((v, k) for c, k, v in data if c == s and v is not None)
+        for i, (v, k) in enumerate(r):
+            near = sorted((abs(x - v), y) for x, y in r[max(0, i - 3) : i] + r[i + 1 : i + 4])[:3]
+            expected += [(s, k, y, d, n) for n, (d, y) in enumerate(near, 1)]
+    df = spark.createDataFrame(data, "s string, k int, v double")
+    for bins in (1, 7):
+        assert sorted(rows(match.nearest_in_order(df, scope=["s"], value="v", key="k", k=3, bins=bins))) == sorted(expected)
