@@ -51,7 +51,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
-def spread(df: DataFrame, per_core: int = 16 << 20) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 2 << 20) -> DataFrame:
     """``df`` in one partition per core if it is so small (by Spark's estimate) that fewer would be read, for rows that cost much
     each; larger input stays as it is read. Nothing is run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
