@@ -136,7 +136,7 @@ def encoded_pieces(documents: DataFrame, *, doc: str = "doc_id", text: str = "te
         e = encoder(folder, tokenizer)
         return pd.Series([np.array(e.encode_ordinary(x), np.int32) for x in texts])
 
-    cut = _cut(documents, doc, text, mean).withColumn("key", F.md5(F.encode("piece", "utf-8")))
+    cut = _cut(documents, doc, text, mean).withColumn("key", F.unhex(F.md5(F.encode("piece", "utf-8"))))
     distinct = cut.groupBy("key").agg(F.first("piece").alias("piece")).select("key", encode("piece").alias("ids"))
     return cut.select("doc", "version", "pos", "key").join(distinct, "key").select("doc", "version", "pos", "ids")
 
