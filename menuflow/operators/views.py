@@ -46,8 +46,6 @@ def search(index: DataFrame, text: str, *, columns: Sequence[str] = ("n",), orde
 
 def even_slots(groups: DataFrame, *, n: str, order: Sequence[str], least: int = 12, most: int = 3) -> DataFrame:
     """Groups of more than ``least`` items, at most ``most`` of them, evenly spread over the order."""
-    from menuflow.operators.merge import top_by  # noqa: F401
-
     eligible = groups.where(F.col(n) > least)
     w = Window.orderBy(*order)  # the groups of one page: a bounded list
     ranked = eligible.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})

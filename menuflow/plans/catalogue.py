@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from menuflow.functions import dates, text
-from menuflow.functions.plain import plain_form
 from menuflow.operators import geometry, match, merge, views
 from menuflow.plans.registry import Registry
 from menuflow.sources.tables import table
