@@ -1,11 +1,12 @@
 """Quantities in different units brought to common ones.
 
-A *notation* is a unit as written, after folding of widths and case. The
-operator links the notations through the quantity they measure: for every
-nutrient it estimates, robustly, the scale and offset between a notation and the
-nutrient's common level from medians and quartiles over all lines, snaps the scale to a
-known conversion, and propagates it through the graph whose nodes are notations and
-nutrients and whose edges are the lines between them, from the anchors (kcal, mg) outward.
+A *notation* is a unit as written, after folding of widths and case. Two amounts that tell
+one quantity in different notations (lines of one record and nutrient, or both in one line)
+link them: scale and offset of a pair come from medians and quartiles over its links, the scales are
+propagated from the anchors (kcal, mg) and snapped to a known conversion, which decides before the name does.
+Notations without enough links take what their name says, and unknown names a
+rougher estimate: the nutrient's common level over all lines, propagated through
+the graph whose nodes are notations and nutrients.
 
 Everything that is gathered is per (nutrient, notation): its size depends on how
 many ways of writing a unit exist, not on the number of lines. The lines themselves
@@ -15,6 +16,7 @@ where the small conversion table is joined; nothing else is shuffled.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,29 +72,31 @@ WORD = r"[a-zμァ-ヴー]+"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(line_id, nutrient, dimension, notation, value): one row per line that states one amount with a unit.
+    """(line_id, nutrient, dimension, notation, value, record_id, aside): one row per line that states one amount with a unit.
 
     The unit is what follows the number, else the unit column, else what stands in brackets or behind a
     slash in the label. Left out: lines of an unknown nutrient, bounds (<, 未満, 以下, 以上 ...), ranges, words,
     numbers without any unit. Of two amounts in a line the first counts if the second stands in brackets
-    (another energy, a portion). Repeated rows give the row once; nulls in any column are no error.
+    (another energy, a portion); ``aside`` is the second, as (notation, value). Repeated rows give the row once; nulls in any column are no error.
     """
-    folded = _once(lines, ["line_id", "amount"], label=fold(F.col("nutrient_label")), text=fold(F.col("amount_text")), unit=fold(F.col("unit")))
+    folded = _once(lines, ["line_id", "record_id", "amount"], label=fold(F.col("nutrient_label")), text=fold(F.col("amount_text")), unit=fold(F.col("unit")))
     # what is left of the text without a label before it, remarks behind it and words that only say "about"
     main = F.regexp_replace("text", r"[(\[/*※].*$", "")
     main = F.regexp_replace(main, r"^[^0-9<>≦≧≤≥〜~]*[:=]", "")
     main = F.regexp_replace(main, r"^(?:約|およそ|推定|ほぼ|ca\.?|approx\.?)+|(?:前後|程度|くらい|ぐらい|ほど|弱|強)+$", "")
     name = F.regexp_extract("label", r"^([^(\[/:]+)", 1)
     behind = F.nullif(F.regexp_extract("label", rf"[(\[/]({WORD})[)\]]?$", 1), F.lit(""))
-    cut = _once(folded, ["line_id", "amount"], name=name, main=main, silent=F.coalesce(F.col("text"), F.lit("")) == "", unit=F.nullif("unit", F.lit("")), behind=behind)
+    second = [F.regexp_extract("text", rf"[(\[/]({NUMBER})({WORD})[)\]]?$", i) for i in (1, 2)]
+    cut = _once(folded, ["line_id", "record_id", "amount"], second=second[0], aside=F.nullif(second[1], F.lit("")), name=name, main=main, silent=F.coalesce(F.col("text"), F.lit("")) == "", unit=F.nullif("unit", F.lit("")), behind=behind)
     nutrient = F.coalesce(*(F.when(F.col("name").isin(*names), F.lit(key)) for key, names in NUTRIENTS.items()))
     shape = rf"^({NUMBER})({WORD})?$"
     number = F.nullif(F.regexp_replace(F.regexp_extract("main", shape, 1), ",", ""), F.lit("")).cast("double")
     beside = F.when(~F.col("silent"), F.nullif(F.regexp_extract("main", shape, 2), F.lit("")))
     return (
-        _once(cut, ["line_id"], nutrient=nutrient, notation=F.coalesce(beside, "unit", "behind"), value=F.when(F.col("silent"), F.col("amount")).otherwise(number))
+        _once(cut, ["line_id", "record_id", "second", "aside"], nutrient=nutrient, notation=F.coalesce(beside, "unit", "behind"), value=F.when(F.col("silent"), F.col("amount")).otherwise(number))
         .where(F.col("line_id").isNotNull() & F.col("nutrient").isNotNull() & F.col("notation").isNotNull() & (F.col("value") >= 0))
-        .distinct()
+        .groupBy("line_id", "nutrient", "notation", "value")
+        .agg(F.min("record_id").alias("record_id"), F.min(F.when(F.col("aside").isNotNull(), F.struct(F.col("aside").alias("notation"), F.regexp_replace("second", ",", "").cast("double").alias("value")))).alias("aside"))
         .withColumn("dimension", F.when(F.col("nutrient") == "kcal", "energy").otherwise("mass"))
     )
 
@@ -106,8 +110,62 @@ def _named() -> Column:
     return F.coalesce(*(F.when(F.col("notation").isin(*names), F.lit(key)) for key, names in NAMED.items()))
 
 
-def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"), rounds: int = 3, min_support: int = 30, tolerance: float = 2.0) -> DataFrame:
-    """(dimension, notation, support, estimated, offset, unit, factor, agrees): how a notation becomes kcal or mg.
+def _as_salt(parsed: DataFrame) -> DataFrame:
+    """Lines of an amount above zero, sodium told as salt."""
+    sodium = F.col("nutrient") == "sodium"
+    return parsed.where(F.col("value") > 0).withColumns({"nutrient": F.when(sodium, "salt_g").otherwise(F.col("nutrient")), "value": F.when(sodium, F.col("value") * SALT_PER_SODIUM).otherwise(F.col("value"))})
+
+
+def linked_pairs(parsed: DataFrame) -> DataFrame:
+    """(dimension, a, b, n, ratio, spread, offset): what ``n`` amounts in notation b are to the same quantities in a, both ways round.
+
+    A record's only amount of a nutrient in one notation meets its only ones in others, and an amount the second one of its line. ``ratio`` is the
+    logarithm of the median of b / a and ``spread`` the distance of its quartiles; ``offset`` is b's median less what a's
+    gives by the slope between the quartiles, as a share of b's median: 0 where both share their zero.
+    """
+    only = _as_salt(parsed).where(F.col("record_id").isNotNull()).groupBy("record_id", "dimension", "nutrient", "notation").agg(F.min("value").alias("value"), F.max("value").alias("_max")).where("value = _max")
+    stated = only.groupBy("record_id", "dimension", "nutrient").agg(F.collect_list(F.struct("notation", "value")).alias("_s")).where(F.size("_s") > 1)
+    between = stated.select("dimension", "_s", F.explode("_s").alias("a")).select("dimension", "a", F.explode("_s").alias("b"))
+    sides = F.array(F.struct("notation", "value"), F.col("aside"))
+    within = parsed.where((F.col("value") > 0) & (F.col("aside.value") > 0)).select("dimension", F.explode(F.array(F.struct(sides[0].alias("a"), sides[1].alias("b")), F.struct(sides[1].alias("a"), sides[0].alias("b")))).alias("_p")).select("dimension", "_p.*")
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+    told = (
+        between.unionByName(within)
+        .where(F.col("a.notation") != F.col("b.notation"))
+        .groupBy("dimension", F.col("a.notation").alias("a"), F.col("b.notation").alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), quartiles(F.ln(F.col("b.value") / F.col("a.value"))).alias("_r"), quartiles(F.col("a.value")).alias("_a"), quartiles(F.col("b.value")).alias("_b"))
+    )
+    slope = F.try_divide(F.col("_b")[2] - F.col("_b")[0], F.col("_a")[2] - F.col("_a")[0])
+    return told.select("dimension", "a", "b", "n", F.col("_r")[1].alias("ratio"), (F.col("_r")[2] - F.col("_r")[0]).alias("spread"), F.coalesce(1 - slope * F.col("_a")[1] / F.col("_b")[1], F.lit(0.0)).alias("offset"))
+
+
+def linked_scales(pairs: DataFrame, *, anchors: tuple[str, ...], min_support: int, near: float) -> DataFrame:
+    """(dimension, notation, links, linked): the scales that pairs give, outward from the anchors through the graph of notations.
+
+    Pairs of fewer than ``min_support`` links, whose quartiles differ by more than the factor ``near``, or whose offset exceeds
+    ``near`` - 1, are no edges. At each step a notation takes the mean over its edges to those reached, weighted by links.
+    """
+    edges = pairs.where((F.col("n") >= min_support) & (F.col("spread") <= F.ln(F.lit(near))) & (F.abs("offset") <= near - 1))
+
+    def outward(pdf: pd.DataFrame) -> pd.DataFrame:
+        scale, found = dict.fromkeys(anchors, 0.0), []
+        while True:
+            open_edges = pdf[pdf["a"].isin(list(scale)) & ~pdf["b"].isin(list(scale))]
+            if open_edges.empty:
+                return pd.DataFrame(found, columns=["dimension", "notation", "links", "linked"])
+            for b, e in open_edges.groupby("b"):
+                n = int(e["n"].sum())
+                scale[b] = float(((e["a"].map(scale) - e["ratio"]) * e["n"]).sum() / n)
+                found.append((pdf["dimension"].iloc[0], b, n, scale[b]))
+
+    return edges.groupBy("dimension").applyInPandas(outward, "dimension string, notation string, links bigint, linked double")
+
+
+def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"), rounds: int = 3, min_support: int = 30, tolerance: float = 2.0, near: float = 1.1) -> DataFrame:
+    """(dimension, notation, support, links, estimated, offset, unit, factor, agrees): how a notation becomes kcal or mg.
+
+    First stands the conversion within the factor ``near`` of what the notation's links tell (:func:`linked_pairs`,
+    :func:`linked_scales`): it is measured on the same quantities. The rest is as follows.
 
     Lines of one nutrient in two notations measure the same thing in many records, so the ratio of the medians
     estimates the scale between them. In logarithms a median is the nutrient's level minus the notation's scale;
@@ -116,14 +174,12 @@ def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"),
     from the nutrient's, near 0 where both notations share their zero. ``estimated`` is snapped to the
     nearest known conversion within the factor ``tolerance``.
 
-    A notation with fewer than ``min_support`` lines, or out of reach of the anchors, takes the conversion that its name
-    says. Where a name and a supported estimate differ, the name stands and ``agrees`` is false. A
-    notation with neither has a null factor, and its lines no result. As many rows as notations.
+    The medians are of different records' lines, so where a name and this estimate differ, the name stands; ``agrees`` is
+    false where a name differs from what stands before or after it. A notation with fewer than ``min_support`` lines, or out of
+    reach of the anchors, has no estimate; one with nothing has a null factor, and its lines no result. As many rows as notations.
     """
-    sodium = F.col("nutrient") == "sodium"
     edges = (
-        parsed.where(F.col("value") > 0)
-        .select("dimension", F.when(sodium, "salt_g").otherwise(F.col("nutrient")).alias("nutrient"), "notation", F.when(sodium, F.col("value") * SALT_PER_SODIUM).otherwise(F.col("value")).alias("value"))
+        _as_salt(parsed)
         .groupBy("dimension", "nutrient", "notation")
         .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [0.25, 0.5], 10_000).alias("q"))
         .select("dimension", "nutrient", "notation", "n", F.ln(F.col("q")[1]).alias("mid"), (F.col("q")[0] / F.col("q")[1]).alias("shape"))
@@ -144,9 +200,14 @@ def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"),
         F.sum("n").alias("support"), F.exp(F.max("_scale")).alias("estimated"), (F.sum(F.col("_offset") * F.col("n")) / F.sum("n")).alias("offset")
     )
     known = [(d, u, f) for d, units in KNOWN.items() for u, f in units.items()]
-    candidates = F.array(*(F.struct(F.abs(F.ln(F.col("estimated") / F.lit(f))).alias("off"), F.lit(u).alias("unit"), F.lit(d).alias("dimension")) for d, u, f in known))
-    fits = F.filter(candidates, lambda c: (c["dimension"] == F.col("dimension")) & (c["off"] <= F.ln(F.lit(tolerance))))
-    snapped = F.when((F.col("support") >= min_support) & F.col("estimated").isNotNull(), F.array_min(fits)["unit"])
+
+    def snap(estimate: Column, within: float) -> Column:
+        candidates = F.array(*(F.struct(F.abs(F.ln(estimate / F.lit(f))).alias("off"), F.lit(u).alias("unit"), F.lit(d).alias("dimension")) for d, u, f in known))
+        fits = F.filter(candidates, lambda c: (c["dimension"] == F.col("dimension")) & (c["off"] <= F.ln(F.lit(within))))
+        return F.when(estimate.isNotNull(), F.array_min(fits)["unit"])
+
+    snapped = F.when(F.col("support") >= min_support, snap(F.col("estimated"), tolerance))
+    scales = linked_scales(linked_pairs(parsed), anchors=anchors, min_support=min_support, near=near)
     named = _named()
     dimension_of = F.lit(None).cast("string")
     factor = F.lit(None).cast("double")
@@ -154,10 +215,12 @@ def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"),
         dimension_of = F.when(F.col("_named") == u, F.lit(d)).otherwise(dimension_of)
         factor = F.when(F.col("unit") == u, F.lit(f)).otherwise(factor)
     return (
-        nodes.withColumns({"_snapped": snapped, "_named": named})
+        nodes.join(scales, ["dimension", "notation"], "left")
+        .withColumns({"_linked": snap(F.exp("linked"), near), "_snapped": snapped, "_named": named})
         .withColumn("_named", F.when(dimension_of == F.col("dimension"), F.col("_named")))
-        .withColumn("unit", F.coalesce("_named", "_snapped"))
-        .select("dimension", "notation", "support", "estimated", "offset", "unit", factor.alias("factor"), F.coalesce(F.col("_named") == F.col("_snapped"), F.lit(True)).alias("agrees"))
+        .withColumn("unit", F.coalesce("_linked", "_named", "_snapped"))
+        .withColumn("estimated", F.coalesce(F.when(F.col("_linked").isNotNull(), F.exp("linked")), "estimated"))
+        .select("dimension", "notation", "support", F.coalesce("links", F.lit(0)).alias("links"), "estimated", "offset", "unit", factor.alias("factor"), F.coalesce(F.col("_named") == F.coalesce("_linked", "_snapped"), F.lit(True)).alias("agrees"))
     )
 
 

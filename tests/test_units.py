@@ -46,3 +46,28 @@ def test_an_unknown_notation_is_told_from_linked_lines(spark):
     found = {r["notation"]: r for r in conversions(parse_lines(frame(spark, lines))).collect()}
     assert found["zog"]["unit"] == "g" and found["zog"]["factor"] == 1000.0 and found["mg"]["agrees"]
     assert common_units(frame(spark, lines)).count() == 200
+
+
+def linked(spark, written):
+    """Records that tell one energy in two lines, the second by ``written``."""
+    rows = [x for i in range(40) for x in ((2 * i, i, "熱量", f"{300 + 7 * i}kcal"), (2 * i + 1, i, "熱量", written(300 + 7 * i)))]
+    return spark.createDataFrame([(*x, None, None, "x") for x in rows], SCHEMA)
+
+
+def test_links_of_a_record_decide_before_the_name(spark):
+    df = linked(spark, lambda v: f"{v}cal")  # as menus write it: a "Cal" that is a kcal
+    told = {r["notation"]: r for r in conversions(parse_lines(df)).collect()}
+    assert told["cal"]["unit"] == "kcal" and told["cal"]["links"] == 40 and not told["cal"]["agrees"]
+    assert {(r["line_id"] // 2, r["amount"]) for r in common_units(df).collect()} == {(i, 300 + 7 * i) for i in range(40)}
+
+
+def test_links_with_an_offset_or_too_few_leave_the_name(spark):
+    for df in (linked(spark, lambda v: f"{v + 400}cal"), linked(spark, lambda v: f"{v}cal").where("record_id < 20")):
+        assert {r["notation"]: r["unit"] for r in conversions(parse_lines(df)).collect()}["cal"] == "cal"
+
+
+def test_two_amounts_of_a_line_link_their_notations(spark):
+    lines = [("熱量", f"{v}kcal({v * 4.184:.0f}zog)", None, None) for v in range(300, 340)] + [("熱量", "4184zog", None, None)]
+    told = {r["notation"]: r for r in conversions(parse_lines(frame(spark, lines))).collect()}
+    assert told["zog"]["unit"] == "kJ" and told["zog"]["links"] == 40 and told["zog"]["support"] == 1
+    assert {r["line_id"]: r["amount"] for r in common_units(frame(spark, lines)).collect()}[40] == 1000
