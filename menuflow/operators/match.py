@@ -87,7 +87,8 @@ def nearest_in_order(items: DataFrame, *, scope: Sequence[str], value: str, key:
     The k nearest of a value stand among the k before and the k after it in sorted order, so two windows give all candidates:
     2k per item, and no other pair is formed. A scope is cut into ``bins`` at approximate quantiles, so that a hot one
     isn't sorted in one task; each bin borrows the k rows before and after it, which are at most 2 x bins x k rows a scope.
-    Items with a null value or key are left out; at the k-th distance the smallest keys among the neighbours in order are kept.
+    Items with a null value or key are left out; at the k-th distance the smallest keys among the neighbours in order are kept;
+    where more than ``k`` items are equally far, :func:`nearest` is exact.
     """
     told = items.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*scope, F.col(key).alias("_k"), F.col(value).alias("_v"))
     cuts = told.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 1000).alias("_q"))
@@ -110,6 +111,53 @@ def nearest_in_order(items: DataFrame, *, scope: Sequence[str], value: str, key:
     return listed.select(*scope, F.col("_k").alias(key), F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
 
 
+def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, bins: int = 16) -> DataFrame:
+    """(scope, key, near, distance, rank): for each item its ``k`` nearest of the scope by ``value``, ties by key.
+
+    Equal values share their list. Of each distinct value the k + 1 smallest keys are kept (one may be the item itself), so the k nearest
+    of a value stand among those of the value and of the k distinct values before and after it, however many items are
+    equal: two windows over the distinct values give all candidates, and no other pair is formed. A scope is cut into
+    ``bins`` at approximate quantiles, so that a hot one isn't sorted in one task; each bin borrows the k values before and after it,
+    which are at most 2 x bins x k rows a scope. Where a value is null the distance is null and comes last: such items fill
+    up lists that are short of others, and their own is the smallest keys. Items with a null key are left out.
+    """
+    told = items.where(F.col(key).isNotNull()).select(*scope, F.col(key).alias("_k"), F.col(value).alias("_v"))
+
+    def smallest(rows: DataFrame, *by: str) -> DataFrame:
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_k"))).where(F.col("_r") <= k + 1)
+        return ranked.groupBy(*by).agg(F.array_sort(F.collect_list("_k")).alias("_ks"))
+
+    tops = smallest(told, *scope, "_v")
+    values = tops.where(F.col("_v").isNotNull())
+    cuts = values.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 1000).alias("_q"))
+    binned = values.join(cuts, [*scope]).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_v")))).select(*scope, "_bin", "_v", "_ks")
+
+    def edge(ascending: bool) -> DataFrame:
+        order = F.asc("_v") if ascending else F.desc("_v")
+        first = binned.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(order))).where(F.col("_r") <= k).drop("_r")
+        others = F.sequence(F.lit(0), F.col("_bin") - 1) if ascending else F.sequence(F.col("_bin") + 1, F.lit(bins - 1))
+        has = (F.col("_bin") > 0) if ascending else (F.col("_bin") < bins - 1)
+        lent = first.where(has).withColumn("_bin", F.explode(others))
+        return lent.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(order))).where(F.col("_r") <= k).drop("_r")
+
+    lent = edge(True).unionByName(edge(False)).withColumn("_own", F.lit(False))
+    rows = binned.withColumn("_own", F.lit(True)).unionByName(lent)
+    w = Window.partitionBy(*scope, "_bin").orderBy("_v")
+    near = [F.struct("_v", "_ks"), *(F.struct(f("_v", i).over(w).alias("_v"), f("_ks", i).over(w).alias("_ks")) for f in (F.lag, F.lead) for i in range(1, k + 1))]
+    listed = rows.select(*scope, "_own", "_v", F.filter(F.array(*near), lambda x: x["_v"].isNotNull()).alias("_n")).where("_own")
+    pairs = F.flatten(F.transform("_n", lambda x: F.transform(x["_ks"], lambda y: F.struct(F.abs(x["_v"] - F.col("_v")).alias("distance"), y.alias("near")))))
+    best = listed.select(*scope, "_v", F.slice(F.array_sort(pairs), 1, k + 1).alias("_c"))
+    kind = best.schema["_c"].dataType.elementType["distance"].dataType
+    apart = lambda c: F.transform(c, lambda y: F.struct(F.lit(None).cast(kind).alias("distance"), y.alias("near")))
+    untold = tops.where(F.col("_v").isNull()).select(*scope, F.col("_ks").alias("_rest"))
+    filled = best.join(untold, [*scope], "left").select(*scope, "_v", F.when(F.col("_rest").isNull() | (F.size("_c") > k), F.col("_c")).otherwise(F.concat("_c", apart("_rest"))).alias("_c"))
+    nulls = smallest(told.join(untold.select(*scope), [*scope], "left_semi"), *scope).withColumn("_v", F.lit(None).cast(told.schema["_v"].dataType)).select(*scope, "_v", apart("_ks").alias("_c"))
+    lists = filled.unionByName(nulls).withColumnsRenamed({c: f"_s_{c}" for c in scope}).withColumnRenamed("_v", "_w")
+    met = told.join(lists, [*(F.col(c) == F.col(f"_s_{c}") for c in scope), F.col("_v").eqNullSafe(F.col("_w"))])
+    ranked = F.slice(F.filter("_c", lambda x: x["near"] != F.col("_k")), 1, k)
+    return met.select(*scope, F.col("_k").alias(key), F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
+
+
 def distinguishing(rows: DataFrame, *, group: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """(group, n, label): the first of ``labels`` that is told for every row of the group and differs for all; null if none."""
     n = F.count(F.lit(1))

@@ -31,7 +31,7 @@ def distinguishing_labels(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY brand, k ORDER BY distance, near) AS rank FROM x) SELECT brand, k AS partkey, near, round(distance, 4) AS distance, rank FROM r WHERE rank <= 6""")
 def related_items(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("partkey"), "p_retailprice")
-    return match.nearest_in_order(rows, scope=["brand"], value="p_retailprice", key="partkey", k=6).withColumn("distance", F.round("distance", 4))
+    return match.nearest(rows, scope=["brand"], value="p_retailprice", key="partkey", k=6).withColumn("distance", F.round("distance", 4))
 
 
 _LATEST = """WITH i AS (SELECT DISTINCT l_suppkey % 1000 AS k, l_shipdate::date AS ref FROM lineitem), n AS (SELECT o_custkey % 1000 AS k, o_orderdate::date AS date, o_orderkey AS id FROM orders)

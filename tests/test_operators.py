@@ -136,3 +136,16 @@ def test_nearest_neighbours_do_not_depend_on_bins(spark, rows):
     df = spark.createDataFrame(data, "s string, k int, v double")
     for bins in (1, 7):
         assert sorted(rows(match.nearest_in_order(df, scope=["s"], value="v", key="k", k=3, bins=bins))) == sorted(expected)
+
+
+def test_nearest_of_many_equal_values(spark, rows):
+    data = [("s", i, 5.0) for i in range(1, 31)] + [("s", 40 + i, float(i)) for i in range(11)] + [("s", 100 + i, 7.0) for i in range(12)]
+    some = [*data, ("t", 1, 2.0), ("t", 2, None), ("t", 3, None), ("t", 4, 9.0), ("t", None, 2.0)]
+    expected = []
+    for s, key, v in (x for x in some if x[1] is not None):
+        others = sorted((v is None or b is None, 0.0 if v is None or b is None else abs(b - v), k) for t, k, b in some if t == s and k not in (None, key))
+        expected += [(s, key, k, None if far else d, i + 1) for i, (far, d, k) in enumerate(others[:3])]
+    df = spark.createDataFrame(some, "s string, k int, v double")
+    for bins in (1, 7):
+        found = rows(match.nearest(df, scope=["s"], value="v", key="k", k=3, bins=bins))
+        assert sorted(found, key=str) == sorted(expected, key=str)
