@@ -5,7 +5,8 @@ n-grams, weighted by rarity, and are scored by weighted cosine. Candidates above
 are then held against the *components* of the item (its words, learned from the reference list): an entry
 means an item if the item's components explain it - written otherwise, misspelt, in another order, one
 missing, or with additions - and nothing in it is the name of another component. Of
-several the one explained at the lowest cost wins, then the higher cosine.
+several the one explained at the lowest cost wins if the next one costs at least ``margin`` more;
+otherwise the entry is ambiguous and means none.
 
 Plan: the n-grams of distinct values meet the index by (scope, n-gram); partial sums shrink them before
 the shuffle; what follows has a few rows a value. Scope is the chain, or all chains for entries without
@@ -181,12 +182,14 @@ def map_names(
     ref: str = "ref_id",
     ref_name: str = "canonical_name",
     threshold: float = 0.25,
+    margin: float = 0.1,
     max_fit: int = 20_000,
 ) -> DataFrame:
     """(entry, ref, cost): the item each entry means, -1 where it means none; one row per entry.
 
     Null, blank and unknown names mean none. An entry without a scope is looked up among all items, one with a scope
-    that the reference lacks means none. Of repeated rows of an entry with different names the greatest ref stands. Items
+    that the reference lacks means none, and so does one whose best item isn't ``margin`` cheaper than any other (0.1 is the least step between
+    two kinds of explanation, so an exact name stands against one with an addition). Of repeated rows of an entry with different names the greatest ref stands. Items
     with a null name aren't looked up. Empty reference: every entry gets -1.
     """
     items = reference.where(F.col(ref_name).isNotNull() & F.col(ref).isNotNull()).select(F.col(ref).cast("bigint").alias("_ref"), F.coalesce(F.col(scope), F.lit("")).alias("_scope"), _fold_batch(F.col(ref_name)).alias("_item"))
@@ -214,11 +217,14 @@ def map_names(
         for pdf in batches:
             out = []
             for s, key, c in zip(pdf["_scope"], pdf["_key"], pdf["_c"]):
-                costs = [(parts.explain(key, x["_item"]), -x["_cos"], x["_ref"]) for x in c]
-                told = [x for x in costs if x[0] is not None]
-                if told:
-                    best = min(told)
-                    out.append((s, key, best[2], best[0]))
+                told: dict[int, float] = {}
+                for x in c:
+                    cost = parts.explain(key, x["_item"])
+                    if cost is not None:
+                        told[x["_ref"]] = min(cost, told.get(x["_ref"], math.inf))
+                best = sorted((cost, r) for r, cost in told.items())[:2]
+                if best and (len(best) == 1 or best[1][0] - best[0][0] >= margin - 1e-9):
+                    out.append((s, key, best[0][1], best[0][0]))
             yield pd.DataFrame(out, columns=["_scope", "_key", "_ref", "cost"])
 
     meant = offered.mapInPandas(accept, "_scope string, _key string, _ref bigint, cost double")

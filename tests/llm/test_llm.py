@@ -219,6 +219,15 @@ def test_name_mapping(spark):
     assert {r["ref_id"] for r in empty.collect()} == {-1}
 
 
+def test_ambiguous_names_mean_none(spark):
+    heads, mids, ends = ("濃厚", "屋台風", "極旨", "贅沢"), ("チーズ", "バジル", "醤油", "海老"), ("カレー鍋", "うどん", "ピザ", "炒飯")
+    names = [h + m + e for h in heads for m in mids for e in ends]
+    ref = [(i, "a", n) for i, n in enumerate(names)] + [(100, "b", names[0])]
+    entries = [(1, "a", names[0]), (2, None, names[0]), (3, None, names[1]), (4, "a", "チーズピザ"), (5, "a", names[0] + "大盛"), (6, "b", names[0])]
+    found = name_mapping.map_names(spark.createDataFrame(entries, "entry_id bigint, chain string, name string"), spark.createDataFrame(ref, "ref_id bigint, chain string, canonical_name string"))
+    assert {r["entry_id"]: r["ref_id"] for r in found.collect()} == {1: 0, 2: -1, 3: 1, 4: -1, 5: 0, 6: 100}
+
+
 def test_components_are_learned_from_names():
     rnd = random.Random(5)
     parts = [sorted({"".join(rnd.choice("あいうえおかきくけこさしすせそたちつてと") for _ in range(rnd.randint(2, 5))) for _ in range(16)}) for _ in range(3)]
