@@ -107,7 +107,7 @@ class Transducer:
     def __call__(self, text: str) -> str:
         """The one form of ``text``, without blanks at either end; a fixed point. Other blanks become spaces, one each."""
         if text.isascii():
-            return self.blank.sub(" ", text).strip(" ")
+            return self.blank.sub(" ", self.invisible.sub("", text)).strip(" ")
         out = "".join(map(self.rewrite, self.cluster.findall(text)))
         return unicodedata.normalize("NFC", out).strip(" ")
 

@@ -26,6 +26,12 @@ def test_forms():
     assert visual_text.canonical(None) is None
 
 
+def test_invisible_signs_of_ascii_names():
+    for a, b in [("Coo\x07l", "Cool"), ("\x00Cool\x7f", "Cool"), (" \x1f Cool", "Cool")]:
+        assert visual_text.canonical(a) == visual_text.canonical(b) == b, ascii(a)
+    assert visual_text.canonical("a\tb") == "a b"
+
+
 def test_every_form_is_a_fixed_point():
     rnd = random.Random(2)
     signs = [chr(c) for c in (*range(32, 0x250), *range(0x300, 0x600), *range(0x2000, 0x2100), *range(0x2E80, 0x3100), *range(0xFF00, 0xFFF0), *range(0x4E00, 0x4F00), 0x1F468, 0xE0101)]
