@@ -8,8 +8,9 @@ for, so no key is ever folded from its beginning in one task: a key that holds a
 third of all rows is spread over its periods.
 
 Shuffles: one to reduce repeated observations (with a partial reduction before
-it), one by (key, period) for the patches, and two of the tiny per-period
-summaries. Joining checkpoints to patches keeps the patches where they are.
+it), one by (key, period) that everything about patches keeps (both the summaries and the
+fold read that one exchange), and two of the per-period summaries, which have one row per (key, period).
+Nothing runs while the plan is built. :func:`write_store` and :func:`read_store` keep the two tables as parquet.
 """
 
 from __future__ import annotations
@@ -17,19 +18,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from menuflow.functions.plain import plain_form
-from menuflow.session import cut_lineage
 
-WEEK = 7 * 86400
+FOUR_WEEKS = 28 * 86400
 
 
 @dataclass
 class HistoryStore:
-    """patches: keys, ``_period``, ``at``, ``set_<attribute>`` (null: not set).
-    checkpoints: keys, ``_period``, ``start_<attribute>`` and ``_next``, the moment of the first change in a later period."""
+    """patches: ``_key`` (a struct of the keys), ``_period``, ``at``, ``set_<attribute>`` (null: not set).
+    checkpoints: ``_key``, ``_period``, ``start_<attribute>`` and ``_next``, the moment of the first change in a later period."""
 
     keys: list[str]
     attributes: list[str]
@@ -39,7 +39,8 @@ class HistoryStore:
 
 
 def _period(c: Column, seconds: int) -> Column:
-    return F.floor(F.unix_timestamp(c.cast("timestamp")) / seconds)
+    # never null, so that no join infers a filter for one of its sides and both read one exchange
+    return F.coalesce(F.floor(F.unix_timestamp(c.cast("timestamp")) / seconds), F.lit(0))
 
 
 def build_history(
@@ -50,9 +51,9 @@ def build_history(
     plain: Sequence[str] = ("product_id", "status"),
     at: str = "observed_at",
     precedence: Sequence[str] = ("received_at", "update_id"),
-    period_seconds: int = WEEK,
+    period_seconds: int = FOUR_WEEKS,
 ) -> HistoryStore:
-    """Reduce observations to patches and checkpoints; the patches are written once, both tables are read from them.
+    """Reduce observations to patches and checkpoints.
 
     Of observations of a key with equal ``at`` only the one with the greatest ``precedence`` (nulls
     lowest), then the greatest values, stands, as a whole. A null attribute says nothing. Rows without
@@ -64,17 +65,18 @@ def build_history(
         updates.where(F.col(at).isNotNull())
         .select(*(v.alias(c) for c, v in values.items()), F.col(at).alias("at"), *(F.col(c).alias(f"_p{i}") for i, c in enumerate(precedence)))
         .where(F.col(keys[-1]).isNotNull() & (F.col(keys[-1]) != ""))
-        .groupBy(*keys, "at")
+        .groupBy(F.struct(*keys).alias("_key"), "at")
         .agg(F.max(F.struct(*(F.col(f"_p{i}") for i in range(len(precedence))), F.struct(*attributes).alias("_v"))).alias("_m"))
-        .select(*keys, _period(F.col("at"), period_seconds).alias("_period"), "at", "_m._v.*")
+        .select("_key", _period(F.col("at"), period_seconds).alias("_period"), "at", "_m._v.*")
+        .repartition("_key", "_period")
     )
-    in_period = Window.partitionBy(*keys, "_period").orderBy("at")
+    in_period = Window.partitionBy("_key", "_period").orderBy("at")
     before = in_period.rowsBetween(Window.unboundedPreceding, -1)
     known = stands.withColumns({f"_was_{a}": F.last(a, ignorenulls=True).over(before) for a in attributes})
     sets = {f"set_{a}": F.when(F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(f"_was_{a}")), F.col(a)) for a in attributes}
     firsts = {f"_first_{a}": F.col(a).isNotNull() & F.col(f"_was_{a}").isNull() for a in attributes}
     any_set = F.coalesce(*(F.col(f"set_{a}").cast("string") for a in attributes)).isNotNull()
-    patches = cut_lineage(known.select(*keys, "_period", "at", *(v.alias(c) for c, v in (sets | firsts).items())).where(any_set))
+    patches = known.select("_key", "_period", "at", *(v.alias(c) for c, v in (sets | firsts).items())).where(any_set)
 
     summary: list[Column] = []
     for a in attributes:
@@ -85,26 +87,31 @@ def build_history(
             F.min(F.when(first, F.col("at"))).alias(f"_head_at_{a}"),
             F.min(F.when(given & ~first, F.col("at"))).alias(f"_more_at_{a}"),
         ]
-    by_key = Window.partitionBy(*keys).orderBy("_period")
+    by_key = Window.partitionBy("_key").orderBy("_period")
     earlier, later = by_key.rowsBetween(Window.unboundedPreceding, -1), by_key.rowsBetween(1, Window.unboundedFollowing)
     moments = [F.when(F.col(f"_head_{a}").isNotNull() & ~F.col(f"_head_{a}").eqNullSafe(F.col(f"start_{a}")), F.col(f"_head_at_{a}")) for a in attributes]
     moments += [F.col(f"_more_at_{a}") for a in attributes]
     checkpoints = (
-        patches.groupBy(*keys, "_period")
+        patches.groupBy("_key", "_period")
         .agg(*summary)
         .withColumns({f"start_{a}": F.last(f"_last_{a}", ignorenulls=True).over(earlier) for a in attributes})
         .withColumn("_change", F.least(*moments) if len(moments) > 1 else moments[0])
         .withColumn("_next", F.min("_change").over(later))
-        .select(*keys, "_period", *(f"start_{a}" for a in attributes), "_next")
+        .select("_key", "_period", *(f"start_{a}" for a in attributes), "_next")
     )
-    return HistoryStore(keys, attributes, period_seconds, patches.select(*keys, "_period", "at", *sets), checkpoints)
+    return HistoryStore(keys, attributes, period_seconds, patches.select("_key", "_period", "at", *sets), checkpoints)
 
 
-def _same_keys(store: HistoryStore, a: str, b: str) -> Column:
-    on = F.col(f"{a}._period") == F.col(f"{b}._period")
-    for k in store.keys:
-        on &= F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return on
+def write_store(store: HistoryStore, path: str) -> HistoryStore:
+    """Writes both tables below ``path`` and gives the store that reads them (see :func:`read_store`)."""
+    store.patches.write.mode("overwrite").parquet(f"{path}/patches")
+    store.checkpoints.write.mode("overwrite").parquet(f"{path}/checkpoints")
+    return read_store(store.patches.sparkSession, path, store.keys, store.attributes, store.period_seconds)
+
+
+def read_store(spark: SparkSession, path: str, keys: Sequence[str], attributes: Sequence[str], period_seconds: int) -> HistoryStore:
+    """A store written by :func:`write_store`; its keys, attributes and period have to be the same."""
+    return HistoryStore(list(keys), list(attributes), period_seconds, spark.read.parquet(f"{path}/patches"), spark.read.parquet(f"{path}/checkpoints"))
 
 
 def versions(store: HistoryStore) -> DataFrame:
@@ -114,12 +121,8 @@ def versions(store: HistoryStore) -> DataFrame:
     null. Keys that never told any attribute have no version. Empty input gives no rows.
     """
     keys, attributes = store.keys, store.attributes
-    joined = (
-        store.patches.alias("p")
-        .join(store.checkpoints.alias("c"), _same_keys(store, "p", "c"))
-        .select(*(F.col(f"p.{k}") for k in keys), "p._period", "p.at", *(f"p.set_{a}" for a in attributes), *(f"c.start_{a}" for a in attributes), "c._next")
-    )
-    w = Window.partitionBy(*keys, "_period").orderBy("at")
+    joined = store.patches.join(store.checkpoints, ["_key", "_period"])
+    w = Window.partitionBy("_key", "_period").orderBy("at")
     now, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     state = {f"_now_{a}": F.coalesce(F.last(f"set_{a}", ignorenulls=True).over(now), F.col(f"start_{a}")) for a in attributes}
     past = {f"_was_{a}": F.coalesce(F.last(f"set_{a}", ignorenulls=True).over(before), F.col(f"start_{a}")) for a in attributes}
@@ -130,7 +133,7 @@ def versions(store: HistoryStore) -> DataFrame:
         joined.withColumns(state | past)
         .where(differs)
         .withColumn("valid_to", F.coalesce(F.lead("at").over(w), F.col("_next")))
-        .select(*keys, F.col("at").alias("valid_from"), "valid_to", *(F.col(f"_now_{a}").alias(a) for a in attributes))
+        .select(*(F.col(f"_key.{k}") for k in keys), F.col("at").alias("valid_from"), "valid_to", *(F.col(f"_now_{a}").alias(a) for a in attributes))
     )
 
 
@@ -146,18 +149,14 @@ def as_of(store: HistoryStore, moment: str) -> DataFrame:
     limit = _period(asked, store.period_seconds)
     nearest = (
         store.checkpoints.where(F.col("_period") <= limit)
-        .groupBy(*keys)
+        .groupBy("_key")
         .agg(F.max_by(F.struct("_period", *(F.col(f"start_{a}") for a in attributes)), "_period").alias("_c"))
-        .select(*keys, "_c.*")
+        .select("_key", "_c.*")
     )
     folded = (
         store.patches.where((F.col("_period") <= limit) & (F.col("at") <= asked))
-        .groupBy(*keys, "_period")
+        .groupBy("_key", "_period")
         .agg(*(F.max_by(f"set_{a}", F.when(F.col(f"set_{a}").isNotNull(), F.col("at"))).alias(f"set_{a}") for a in attributes))
     )
-    out = (
-        nearest.alias("c")
-        .join(folded.alias("p"), _same_keys(store, "c", "p"), "left")
-        .select(*(F.col(f"c.{k}") for k in keys), *(F.coalesce(F.col(f"p.set_{a}"), F.col(f"c.start_{a}")).alias(a) for a in attributes))
-    )
+    out = nearest.join(folded, ["_key", "_period"], "left").select(*(F.col(f"_key.{k}") for k in keys), *(F.coalesce(F.col(f"set_{a}"), F.col(f"start_{a}")).alias(a) for a in attributes))
     return out.where(F.coalesce(*(F.col(a).cast("string") for a in attributes)).isNotNull())
