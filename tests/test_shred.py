@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 
-from menuflow.operators.shred import product_children, shred, shred_text
+import pytest
+
+from menuflow.operators.shred import _read_deep, product_children, shred, shred_text
 
 SCHEMA = "record_id bigint, fetched_at timestamp_ntz, body string, node string"
 T0 = dt.datetime(2026, 1, 1)
@@ -38,6 +40,17 @@ def test_children_of_every_shape(spark, rows):
     assert product_children(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_bodies_of_any_depth_are_read(spark, rows):
+    deep = '{"price_history": [{"date": "d"}], "x": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    df = spark.createDataFrame([(1, T0, deep, "x"), (2, T0, deep[:-1], "x")], SCHEMA)
+    assert rows(product_children(df).select("record_id", "child", "pos", "name")) == [(1, "price", 0, "d")]
+    for text in ('{"a": [1, -2.5e3, true, null, "x\\u00e9", {}], "b": {"c": []}}', "[]", " [ 1 , 2 ] ", "{}", "3", '"s"'):
+        assert _read_deep(text) == json.loads(text)
+    for text in ("", "[1,]", '{"a"}', '{"a": 1,}', "[1 2]", "[", '{"a": [}', "[1] 2", "nul", "]"):
+        with pytest.raises(ValueError):
+            _read_deep(text)
+
+
 def test_nodes_keep_the_tree(spark):
     nodes = {n[0]: n for n in shred_text('{"a": [{"b": 1}, [2]], "c": "x"}')}
     assert nodes[0][6] == "object" and nodes[1][4] == "a"
@@ -45,7 +58,7 @@ def test_nodes_keep_the_tree(spark):
         assert n[1] is None or nodes[n[1]][8] == n[9]
     assert [(n[8], n[7]) for n in nodes.values() if n[7]] == [("$.a[].b", "1"), ("$.a[][]", "2"), ("$.c", "x")]
     deep = "[" * 5000 + "]" * 5000
-    assert shred_text(deep) == [] or len(shred_text(deep)) == 5000
+    assert len(shred_text(deep)) == 5000
     wide = json.dumps({"price_history": [{"date": str(i)} for i in range(30_000)]})
     df = spark.createDataFrame([(1, T0, wide, "")], SCHEMA)
     assert shred(df, batch=1000).count() == 60_002
