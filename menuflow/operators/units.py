@@ -2,26 +2,30 @@
 
 A *notation* is a unit as written, after folding of widths and case. Two amounts that tell
 one quantity in different notations (lines of one record and nutrient, or both in one line)
-link them: scale and offset of a pair come from medians and quartiles over its links, the scales are
-propagated from the anchors (kcal, mg) and snapped to a known conversion, which decides before the name does.
-Notations without enough links take what their name says, and unknown names a
-rougher estimate: the nutrient's common level over all lines, propagated through
-the graph whose nodes are notations and nutrients.
+link them: scale and offset of a pair come from medians and quartiles over its links and are
+propagated from the anchors (kcal, mg) through the graph of notations. Where no links reach, a nutrient itself is the common
+entity: its level is the same in every notation, so medians of many lines estimate a notation's scale, again
+propagated from the anchors through the graph whose nodes are notations and nutrients. An estimate is snapped to the nearest known
+conversion if it is certain: if its standard error keeps every other conversion away. Only where no estimate is
+certain the unit's name decides. :func:`conversions` says for each notation what decided.
 
 Everything that is gathered is per (nutrient, notation): its size depends on how
-many ways of writing a unit exist, not on the number of lines. The lines themselves
-are read once for the estimates (map-side aggregated) and once for the result,
-where the small conversion table is joined; nothing else is shuffled.
+many ways of writing a unit exist, not on the number of lines. The lines are
+parsed once and written; estimates are map-side aggregated, and the small conversion
+table is joined to the written lines.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from menuflow.functions.plain import half_width
-from menuflow.session import broadcast_if_small
+from menuflow.session import broadcast_if_small, cut_lineage
 
 # How the nutrients are labelled (after folding).
 NUTRIENTS = {
@@ -51,6 +55,8 @@ NAMED = {
     "µg": ("μg", "mcg", "マイクログラム", "ug"),
 }
 SALT_PER_SODIUM = 2.54
+#: The standard error of a median is this times the distance of the quartiles over the root of the number of values (of a normal distribution).
+MEDIAN_ERROR = 1.2533 / 1.349
 # Half-width katakana and squared or micro signs with their usual forms.
 HALF_KANA = "ｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜｦﾝｧｨｩｪｫｬｭｮｯｰ"
 FULL_KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲンァィゥェォャュョッー"
@@ -117,11 +123,11 @@ def _as_salt(parsed: DataFrame) -> DataFrame:
 
 
 def linked_pairs(parsed: DataFrame) -> DataFrame:
-    """(dimension, a, b, n, ratio, spread, offset): what ``n`` amounts in notation b are to the same quantities in a, both ways round.
+    """(dimension, a, b, n, ratio, spread, offset, error): what ``n`` amounts in notation b are to the same quantities in a, both ways round.
 
     A record's only amount of a nutrient in one notation meets its only ones in others, and an amount the second one of its line. ``ratio`` is the
     logarithm of the median of b / a and ``spread`` the distance of its quartiles; ``offset`` is b's median less what a's
-    gives by the slope between the quartiles, as a share of b's median: 0 where both share their zero.
+    gives by the slope between the quartiles, as a share of b's median: 0 where both share their zero. ``error`` is the standard error of the ratio.
     """
     only = _as_salt(parsed).where(F.col("record_id").isNotNull()).groupBy("record_id", "dimension", "nutrient", "notation").agg(F.min("value").alias("value"), F.max("value").alias("_max")).where("value = _max")
     stated = only.groupBy("record_id", "dimension", "nutrient").agg(F.collect_list(F.struct("notation", "value")).alias("_s")).where(F.size("_s") > 1)
@@ -136,91 +142,126 @@ def linked_pairs(parsed: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), quartiles(F.ln(F.col("b.value") / F.col("a.value"))).alias("_r"), quartiles(F.col("a.value")).alias("_a"), quartiles(F.col("b.value")).alias("_b"))
     )
     slope = F.try_divide(F.col("_b")[2] - F.col("_b")[0], F.col("_a")[2] - F.col("_a")[0])
-    return told.select("dimension", "a", "b", "n", F.col("_r")[1].alias("ratio"), (F.col("_r")[2] - F.col("_r")[0]).alias("spread"), F.coalesce(1 - slope * F.col("_a")[1] / F.col("_b")[1], F.lit(0.0)).alias("offset"))
+    return told.select("dimension", "a", "b", "n", F.col("_r")[1].alias("ratio"), (F.col("_r")[2] - F.col("_r")[0]).alias("spread"), F.coalesce(1 - slope * F.col("_a")[1] / F.col("_b")[1], F.lit(0.0)).alias("offset")).withColumn("error", MEDIAN_ERROR * F.col("spread") / F.sqrt("n"))
 
 
-def linked_scales(pairs: DataFrame, *, anchors: tuple[str, ...], min_support: int, near: float) -> DataFrame:
-    """(dimension, notation, links, linked): the scales that pairs give, outward from the anchors through the graph of notations.
+def linked_scales(pairs: DataFrame, *, anchors: tuple[str, ...], min_links: int, near: float) -> DataFrame:
+    """(dimension, notation, links, linked, linked_error): the scales that pairs give, outward from the anchors through the graph of notations.
 
-    Pairs of fewer than ``min_support`` links, whose quartiles differ by more than the factor ``near``, or whose offset exceeds
-    ``near`` - 1, are no edges. At each step a notation takes the mean over its edges to those reached, weighted by links.
+    Pairs of fewer than ``min_links`` links, whose quartiles differ by more than the factor ``near``, or whose offset exceeds
+    ``near`` - 1, are no edges. At each step a notation takes the mean over its edges to those reached, weighted by links, until none is left to reach.
     """
-    edges = pairs.where((F.col("n") >= min_support) & (F.col("spread") <= F.ln(F.lit(near))) & (F.abs("offset") <= near - 1))
+    edges = pairs.where((F.col("n") >= min_links) & (F.col("spread") <= F.ln(F.lit(near))) & (F.abs("offset") <= near - 1))
 
     def outward(pdf: pd.DataFrame) -> pd.DataFrame:
-        scale, found = dict.fromkeys(anchors, 0.0), []
+        scale, error, found = dict.fromkeys(anchors, 0.0), dict.fromkeys(anchors, 0.0), []
         while True:
             open_edges = pdf[pdf["a"].isin(list(scale)) & ~pdf["b"].isin(list(scale))]
             if open_edges.empty:
-                return pd.DataFrame(found, columns=["dimension", "notation", "links", "linked"])
+                return pd.DataFrame(found, columns=["dimension", "notation", "links", "linked", "linked_error"])
             for b, e in open_edges.groupby("b"):
                 n = int(e["n"].sum())
                 scale[b] = float(((e["a"].map(scale) - e["ratio"]) * e["n"]).sum() / n)
-                found.append((pdf["dimension"].iloc[0], b, n, scale[b]))
-
-    return edges.groupBy("dimension").applyInPandas(outward, "dimension string, notation string, links bigint, linked double")
+                error[b] = math.sqrt(float(((e["error"] ** 2 + e["a"].map(error) ** 2) * e["n"] ** 2).sum())) / n
+                found.append((pdf["dimension"].iloc[0], b, n, scale[b], error[b]))
 
+    return edges.groupBy("dimension").applyInPandas(outward, "dimension string, notation string, links bigint, linked double, linked_error double")
 
-def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"), rounds: int = 3, min_support: int = 30, tolerance: float = 2.0, near: float = 1.1) -> DataFrame:
-    """(dimension, notation, support, links, estimated, offset, unit, factor, agrees): how a notation becomes kcal or mg.
 
-    First stands the conversion within the factor ``near`` of what the notation's links tell (:func:`linked_pairs`,
-    :func:`linked_scales`): it is measured on the same quantities. The rest is as follows.
+def level_scales(parsed: DataFrame, *, anchors: tuple[str, ...], least_spread: float = 0.5) -> DataFrame:
+    """(dimension, notation, support, level, level_error, offset): the scales that the nutrients' common levels give.
 
-    Lines of one nutrient in two notations measure the same thing in many records, so the ratio of the medians
-    estimates the scale between them. In logarithms a median is the nutrient's level minus the notation's scale;
-    from the anchors, whose scale is 1, levels and scales are told in turn, ``rounds`` times, each
-    the mean over its edges weighted by their lines. ``offset`` is the difference of (lower quartile / median)
-    from the nutrient's, near 0 where both notations share their zero. ``estimated`` is snapped to the
-    nearest known conversion within the factor ``tolerance``.
-
-    The medians are of different records' lines, so where a name and this estimate differ, the name stands; ``agrees`` is
-    false where a name differs from what stands before or after it. A notation with fewer than ``min_support`` lines, or out of
-    reach of the anchors, has no estimate; one with nothing has a null factor, and its lines no result. As many rows as notations.
+    In logarithms the median of a nutrient's lines in a notation is the nutrient's level less the notation's scale. The scales and levels that fit
+    the medians best (least squares, weighted by lines; the anchors' scale is 0) are solved for all notations that are joined with an anchor
+    through nutrients and other notations, however far. ``level_error`` is the standard error, from the quartiles of the nutrient's
+    best supported notation, which are taken as at least ``least_spread`` apart (few lines tell too little of it). ``offset`` is the difference of (lower quartile / median)
+    from the nutrient's, near 0 where both share their zero. A row for each notation; null where no anchor is in reach.
     """
-    edges = (
+    medians = (
         _as_salt(parsed)
         .groupBy("dimension", "nutrient", "notation")
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [0.25, 0.5], 10_000).alias("q"))
-        .select("dimension", "nutrient", "notation", "n", F.ln(F.col("q")[1]).alias("mid"), (F.col("q")[0] / F.col("q")[1]).alias("shape"))
-        .withColumns({"_scale": F.when(F.col("notation").isin(*anchors), F.lit(0.0)), "_level": F.lit(None).cast("double")})
-    )
-    by_nutrient, by_notation = Window.partitionBy("dimension", "nutrient"), Window.partitionBy("dimension", "notation")
-
-    def mean(c: Column, w: object) -> Column:
-        weight = F.when(c.isNotNull(), F.col("n"))
-        return F.sum(c * weight).over(w) / F.sum(weight).over(w)
-
-    for _ in range(rounds):
-        edges = edges.withColumn("_level", mean(F.col("mid") + F.col("_scale"), by_nutrient))
-        told = mean(F.col("_level") - F.col("mid"), by_notation)
-        edges = edges.withColumn("_scale", F.when(F.col("notation").isin(*anchors), F.lit(0.0)).otherwise(told))
-    edges = edges.withColumn("_offset", F.col("shape") - mean(F.col("shape"), by_nutrient))
-    nodes = edges.groupBy("dimension", "notation").agg(
-        F.sum("n").alias("support"), F.exp(F.max("_scale")).alias("estimated"), (F.sum(F.col("_offset") * F.col("n")) / F.sum("n")).alias("offset")
+        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000).alias("q"))
+        .select("dimension", "nutrient", "notation", "n", F.ln(F.col("q")[1]).alias("mid"), (F.ln(F.col("q")[2] / F.col("q")[0])).alias("spread"), (F.col("q")[0] / F.col("q")[1]).alias("shape"))
     )
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pdf.sort_values(["n", "notation"]).groupby("nutrient").tail(1).set_index("nutrient")
+        pdf = pdf.assign(var=(MEDIAN_ERROR * pdf["nutrient"].map(best["spread"]).clip(lower=least_spread)) ** 2 / pdf["n"])
+        reached = set(anchors) & set(pdf["notation"])
+        while True:
+            nutrients = set(pdf.loc[pdf["notation"].isin(reached), "nutrient"])
+            more = set(pdf.loc[pdf["nutrient"].isin(nutrients), "notation"])
+            if more == reached:
+                break
+            reached = more
+        inside = pdf[pdf["notation"].isin(reached)]
+        levels = {x: i for i, x in enumerate(sorted(inside["nutrient"].unique()))}
+        free = {x: len(levels) + i for i, x in enumerate(sorted(reached - set(anchors)))}
+        a = np.zeros((len(inside), len(levels) + len(free)))
+        for i, (nutrient, notation) in enumerate(zip(inside["nutrient"], inside["notation"])):
+            a[i, levels[nutrient]] = 1
+            if notation in free:
+                a[i, free[notation]] = -1
+        w = np.sqrt(inside["n"].to_numpy(float))
+        told = np.linalg.lstsq(a * w[:, None], inside["mid"].to_numpy(float) * w, rcond=None)[0] if len(inside) else np.empty(0)
+        out = []
+        for notation, e in pdf.groupby("notation"):
+            n = e["n"].sum()
+            mean = {x: np.average(g["shape"], weights=g["n"]) for x, g in pdf.groupby("nutrient")}
+            offset = float(np.average(e["shape"] - e["nutrient"].map(mean), weights=e["n"]))
+            scale = 0.0 if notation in anchors else float(told[free[notation]]) if notation in free else None
+            # how well the other notations tell the levels of its nutrients
+            others = inside[inside["notation"] != notation].groupby("nutrient")["var"].agg(lambda v: 1 / (1 / v).sum())
+            error = math.sqrt(((e["var"] + e["nutrient"].map(others).fillna(np.inf)) * e["n"] ** 2).sum()) / n if scale is not None and notation not in anchors else 0.0
+            out.append((pdf["dimension"].iloc[0], notation, int(n), scale, error, offset))
+        return pd.DataFrame(out, columns=["dimension", "notation", "support", "level", "level_error", "offset"])
+
+    return medians.groupBy("dimension").applyInPandas(solve, "dimension string, notation string, support bigint, level double, level_error double, offset double")
+
+
+def conversions(parsed: DataFrame, *, anchors: tuple[str, ...] = ("kcal", "mg"), min_links: int = 5, tolerance: float = 2.0, near: float = 1.1, certain: float = 4.0) -> DataFrame:
+    """(dimension, notation, support, links, estimated, error, offset, unit, factor, decided, agrees): how a notation becomes kcal or mg.
+
+    ``decided`` says by what: ``links`` (:func:`linked_scales`; the conversion within the factor ``near``), else ``level`` (:func:`level_scales`; within the
+    factor ``tolerance``), else ``name``. An estimate decides only if it is certain: if the next known conversion lies
+    farther off than the nearest by more than twice ``certain`` standard errors. So how many lines it takes follows from how much they vary and how far apart the conversions lie.
+
+    ``agrees`` is false where a known name says another unit than what decided. A notation
+    with nothing has a null factor, and its lines no result. As many rows as notations.
+    """
     known = [(d, u, f) for d, units in KNOWN.items() for u, f in units.items()]
 
-    def snap(estimate: Column, within: float) -> Column:
-        candidates = F.array(*(F.struct(F.abs(F.ln(estimate / F.lit(f))).alias("off"), F.lit(u).alias("unit"), F.lit(d).alias("dimension")) for d, u, f in known))
-        fits = F.filter(candidates, lambda c: (c["dimension"] == F.col("dimension")) & (c["off"] <= F.ln(F.lit(within))))
-        return F.when(estimate.isNotNull(), F.array_min(fits)["unit"])
+    def snap(scale: Column, error: Column, within: float) -> Column:
+        options = F.array(*(F.struct(F.lit(d).alias("dimension"), F.abs(scale - F.ln(F.lit(f))).alias("off"), F.lit(u).alias("unit")) for d, u, f in known))
+        own = F.array_sort(F.transform(F.filter(options, lambda c: c["dimension"] == F.col("dimension")), lambda c: F.struct(c["off"].alias("off"), c["unit"].alias("unit"))))
+        sure = (own[0]["off"] <= F.ln(F.lit(within))) & (own[1]["off"] - own[0]["off"] > 2 * certain * error)
+        return F.when(scale.isNotNull() & sure, own[0]["unit"])
 
-    snapped = F.when(F.col("support") >= min_support, snap(F.col("estimated"), tolerance))
-    scales = linked_scales(linked_pairs(parsed), anchors=anchors, min_support=min_support, near=near)
-    named = _named()
-    dimension_of = F.lit(None).cast("string")
-    factor = F.lit(None).cast("double")
+    links = linked_scales(linked_pairs(parsed), anchors=anchors, min_links=min_links, near=near)
+    dimension_of, factor = F.lit(None).cast("string"), F.lit(None).cast("double")
     for d, u, f in known:
         dimension_of = F.when(F.col("_named") == u, F.lit(d)).otherwise(dimension_of)
         factor = F.when(F.col("unit") == u, F.lit(f)).otherwise(factor)
+    by_links, by_level = F.col("_linked").isNotNull(), F.col("_level").isNotNull()
     return (
-        nodes.join(scales, ["dimension", "notation"], "left")
-        .withColumns({"_linked": snap(F.exp("linked"), near), "_snapped": snapped, "_named": named})
+        level_scales(parsed, anchors=anchors)
+        .join(links, ["dimension", "notation"], "left")
+        .withColumns({"_linked": snap(F.col("linked"), F.col("linked_error"), near), "_level": snap(F.col("level"), F.col("level_error"), tolerance), "_named": _named()})
         .withColumn("_named", F.when(dimension_of == F.col("dimension"), F.col("_named")))
-        .withColumn("unit", F.coalesce("_linked", "_named", "_snapped"))
-        .withColumn("estimated", F.coalesce(F.when(F.col("_linked").isNotNull(), F.exp("linked")), "estimated"))
-        .select("dimension", "notation", "support", F.coalesce("links", F.lit(0)).alias("links"), "estimated", "offset", "unit", factor.alias("factor"), F.coalesce(F.col("_named") == F.coalesce("_linked", "_snapped"), F.lit(True)).alias("agrees"))
+        .withColumn("unit", F.coalesce("_linked", "_level", "_named"))
+        .select(
+            "dimension",
+            "notation",
+            "support",
+            F.coalesce("links", F.lit(0)).alias("links"),
+            F.exp(F.when(by_links, F.col("linked")).otherwise(F.col("level"))).alias("estimated"),
+            F.when(by_links, F.col("linked_error")).otherwise(F.col("level_error")).alias("error"),
+            "offset",
+            "unit",
+            factor.alias("factor"),
+            F.when(by_links, "links").when(by_level, "level").when(F.col("_named").isNotNull(), "name").alias("decided"),
+            F.coalesce(F.col("_named") == F.col("unit"), F.lit(True)).alias("agrees"),
+        )
     )
 
 
@@ -230,7 +271,7 @@ def common_units(lines: DataFrame, *, max_notations: int = 10_000) -> DataFrame:
     See :func:`parse_lines` for what counts as a line, :func:`conversions` for the conversion of its notation. The
     conversions are broadcast after their number is checked against ``max_notations``; beyond it they are joined by shuffle.
     """
-    parsed = parse_lines(lines)
+    parsed = cut_lineage(parse_lines(lines))
     table = broadcast_if_small(conversions(parsed).where(F.col("factor").isNotNull()).select("dimension", "notation", "factor"), max_notations)
     salt = F.when(F.col("nutrient") == "sodium", F.lit(SALT_PER_SODIUM)).otherwise(F.lit(1.0))
     exact = F.round(F.col("value") * F.col("factor") * salt, 6)

@@ -59,9 +59,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_notations(spark: SparkSession, d: str) -> DataFrame:
-    """What each notation was taken for, with the estimate from the linked lines."""
+    """What each notation was taken for, by what, with the estimate and its standard error."""
     return units.conversions(units.parse_lines(table(spark, d, "nutrition_lines"))).select(
-        "dimension", "notation", "support", F.round("estimated", 6).alias("estimated"), F.round("offset", 3).alias("offset"), "unit", "factor", "agrees"
+        "dimension", "notation", "support", "links", F.round("estimated", 6).alias("estimated"), F.round("error", 4).alias("error"), F.round("offset", 3).alias("offset"), "unit", "factor", "decided", "agrees"
     )
 
 

@@ -61,9 +61,41 @@ def test_links_of_a_record_decide_before_the_name(spark):
     assert {(r["line_id"] // 2, r["amount"]) for r in common_units(df).collect()} == {(i, 300 + 7 * i) for i in range(40)}
 
 
-def test_links_with_an_offset_or_too_few_leave_the_name(spark):
-    for df in (linked(spark, lambda v: f"{v + 400}cal"), linked(spark, lambda v: f"{v}cal").where("record_id < 20")):
-        assert {r["notation"]: r["unit"] for r in conversions(parse_lines(df)).collect()}["cal"] == "cal"
+def test_links_with_an_offset_or_too_few_do_not_decide(spark):
+    told = {r["notation"]: r for r in conversions(parse_lines(linked(spark, lambda v: f"{v + 400}cal"))).collect()}
+    assert told["cal"]["decided"] != "links" and told["cal"]["links"] == 0
+    few = {r["notation"]: r for r in conversions(parse_lines(linked(spark, lambda v: f"{v}cal").where("record_id < 3"))).collect()}
+    assert few["cal"]["unit"] == "cal" and few["cal"]["decided"] == "name"
+
+
+def test_a_misleading_name_gives_way_to_a_certain_estimate(spark):
+    lines = [(label, f"{v}{unit}", None, None) for label, v0 in (("脂質", 9000), ("糖質", 30_000)) for v in range(v0, v0 + 4000, 100) for unit in ("mg", "gram")]
+    told = {r["notation"]: r for r in conversions(parse_lines(frame(spark, lines))).collect()}
+    assert (told["gram"]["unit"], told["gram"]["decided"], told["gram"]["agrees"]) == ("mg", "level", False)
+
+
+def test_a_scale_is_propagated_over_several_steps(spark):
+    # each notation shares one nutrient with the next only: mg - aa - bb - cc
+    steps = [("脂質", "mg", "aa", 1), ("糖質", "aa", "bb", 1000), ("食塩", "bb", "cc", 1000), ("炭水化物", "cc", "dd", 1)]
+    lines = []
+    for i, (label, a, b, factor) in enumerate(steps):
+        for v in range(1000, 1200):
+            lines += [(label, f"{v}{a}", None, None), (label, f"{v / factor:.4f}{b}", None, None)]
+    told = {r["notation"]: r for r in conversions(parse_lines(frame(spark, lines))).collect()}
+    assert [told[x]["unit"] for x in ("aa", "bb", "cc", "dd")] == ["mg", "g", "kg", "kg"]
+    assert all(told[x]["decided"] == "level" for x in ("aa", "bb", "cc", "dd"))
+
+
+def test_supported_notations_do_not_need_their_names(spark, monkeypatch):
+    from menuflow.operators import units
+    from menuflow.sources.tables import table
+
+    parsed = parse_lines(table(spark, "/root/testdata/sf0.1", "nutrition_lines"))
+    with_names = {(r["dimension"], r["notation"]): (r["unit"], r["decided"]) for r in conversions(parsed).collect()}
+    monkeypatch.setattr(units, "NAMED", {"kcal": ("-",)})
+    without = {(r["dimension"], r["notation"]): r["unit"] for r in conversions(parsed).collect()}
+    assert {k for k, (_, by) in with_names.items() if by == "name"} == set()
+    assert without == {k: u for k, (u, _) in with_names.items()}
 
 
 def test_two_amounts_of_a_line_link_their_notations(spark):
