@@ -17,6 +17,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.driver.host", "127.0.0.1")
     )
@@ -52,8 +53,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2 << 20) -> DataFrame:
-    """``df`` in one partition per core if it is so small (by Spark's estimate) that fewer would be read, for rows that cost much
-    each; larger input stays as it is read. Nothing is run."""
+    """``df`` in one partition per core if it is smaller than ``per_core`` bytes a core by Spark's estimate, for rows that cost much
+    each: small files are read by few tasks. Larger input stays as it is read. Give it the table before columns are chosen. Nothing is run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * per_core else df
