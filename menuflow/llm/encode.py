@@ -13,23 +13,25 @@ around: between letter, number, other sign in any change (but not behind an apos
 blanks. Signs outside the long-settled blocks never count as certain, so the Unicode version of the
 tokenizer doesn't matter.
 
-Plan: one pass cuts the texts; distinct pieces are reduced in the map tasks, shuffled once and encoded
-once each; the (document, place, piece) rows meet the ids by piece key (skewed pieces are split
-by adaptive execution, and the other side has one row a piece) and are gathered by document. Nothing is collected.
+Plan: one pass cuts the texts, each once; a piece travels with the places it stands at, once for each batch of
+documents that holds it, to the task of its key, where it is encoded once and its ids go to all its places; a
+second shuffle gathers the ids by document. Ids travel in 16 bits where the vocabulary allows it. A piece that is *hot* in a batch (it stands at more than a
+:data:`HOT` th of the batch's places) is salted by the batch, so its places are spread over :data:`SALTS` tasks, and it is encoded at most
+that often. Sizes alone need no second shuffle of ids: only their number travels. Nothing is collected.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from menuflow.session import spread
 
@@ -37,6 +39,8 @@ TOKENIZER_FOLDER = "/opt/tokenizers"
 #: A public pattern: how the tokenizer splits text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 12
+#: A piece is hot if it stands at more than one in HOT places of a batch; its places are then spread over SALTS tasks.
+HOT, SALTS = 50, 16
 LETTER, NUMBER, OTHER, BLANK, UNSURE, APOSTROPHE = range(6)
 
 
@@ -109,36 +113,109 @@ def pieces(text: str, mean: int = 128) -> list[str]:
     return [text[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
-def _cut(documents: DataFrame, doc: str, text: str, mean: int) -> DataFrame:
-    """(doc, version, pos, piece): at least one row for every document; version tells rows of one doc with different texts apart."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple] = []
-            for d, v, t in zip(pdf["d"], pdf["v"], pdf["t"]):
-                rows += [(d, v, i, p) for i, p in enumerate(pieces(t, mean) if t else [""])]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["doc", "version", "pos", "piece"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc", "version", "pos", "piece"])
+def _cut(documents: DataFrame, doc: str, text: str, mean: int, most_signs: int = 1 << 20) -> DataFrame:
+    """(key, salt, piece, docs, versions, places): the pieces of each batch of documents with the places they stand at, in the order of the arrays.
 
+    Every document stands in at least one row, empty and null ones with the empty piece; version tells rows of one document with different texts
+    apart. A batch is cut off after ``most_signs`` signs.
+    """
     kind = documents.schema[doc].dataType.simpleString()
-    given = spread(documents.select(F.col(doc).alias("d"), F.xxhash64(text).alias("v"), F.col(text).alias("t")))
-    return given.mapInPandas(run, f"doc {kind}, version bigint, pos int, piece string")
-
-
-def encoded_pieces(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_FOLDER, mean: int = 128) -> DataFrame:
-    """(doc, version, pos, ids): the ids of every piece of every document, each distinct piece encoded once."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        e = encoder(folder, tokenizer)
-        return pd.Series([np.array(e.encode_ordinary(x), np.int32) for x in texts])
-
-    cut = _cut(documents, doc, text, mean).withColumn("key", F.unhex(F.md5(F.encode("piece", "utf-8"))))
-    distinct = cut.groupBy("key").agg(F.first("piece").alias("piece")).select("key", encode("piece").alias("ids"))
-    return cut.select("doc", "version", "pos", "key").join(distinct, "key").select("doc", "version", "pos", "ids")
+    columns = f"key binary, salt int, piece string, docs array<{kind}>, versions array<bigint>, places array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            doc_type = batch.schema.field("d").type
+            held: dict[str, tuple[list, list, list]] = {}
+            signs = places = 0
+
+            def out() -> pa.RecordBatch:
+                salts = [(task + number) % SALTS if len(x[0]) > 8 and len(x[0]) * HOT > places else 0 for x in held.values()]
+                keys = [hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in held]
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys, pa.binary()),
+                        pa.array(salts, pa.int32()),
+                        pa.array(list(held), pa.string()),
+                        *(pa.array([x[i] for x in held.values()], pa.list_(t)) for i, t in enumerate((doc_type, pa.int64(), pa.int32()))),
+                    ],
+                    ["key", "salt", "piece", "docs", "versions", "places"],
+                )
+
+            for d, v, t in zip(batch["d"].to_pylist(), batch["v"].to_pylist(), batch["t"].to_pylist()):
+                for i, p in enumerate(pieces(t, mean) if t else ("",)):
+                    at = held.get(p)
+                    if at is None:
+                        at = held[p] = ([], [], [])
+                    at[0].append(d)
+                    at[1].append(v)
+                    at[2].append(i)
+                    places += 1
+                signs += len(t or "")
+                if signs > most_signs:
+                    yield out()
+                    held, signs, places, number = {}, 0, 0, number + 1
+            if held:
+                yield out()
+                number += 1
+
+    given = spread(documents).select(F.col(doc).alias("d"), F.xxhash64(text).alias("v"), F.col(text).alias("t"))
+    return given.mapInArrow(run, columns)
+
+
+def encoded_pieces(
+    documents: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_FOLDER, mean: int = 128, counts: bool = False
+) -> DataFrame:
+    """(doc, version, pos, ids), or with ``counts`` (doc, version, pos, n): every piece of every document; each distinct piece is encoded once.
+
+    ``ids`` holds 16-bit numbers less 32,768 where the vocabulary has at most 65,536 tokens (see :func:`gather`), so that less is shuffled.
+    """
+    kind = documents.schema[doc].dataType.simpleString()
+    narrow = _narrow(tokenizer, folder)
+    value = "n int" if counts else f"ids array<{'smallint' if narrow else 'int'}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(folder, tokenizer).encode_ordinary
+        last, ids, n = None, None, 0
+        for batch in batches:
+            lengths, values, sizes = [], [], []
+            for key, piece, docs in zip(batch["key"].to_pylist(), batch["piece"].to_pylist(), batch["docs"]):
+                if key != last:
+                    last, found = key, np.array(encode(piece), np.int64)
+                    ids, n = (found - 32768).astype(np.int16) if narrow else found.astype(np.int32), len(found)
+                times = len(docs)
+                sizes += [n] * times
+                if not counts:
+                    values += [ids] * times
+                lengths.append(times)
+            told = [pa.ListArray.flatten(batch[c]) for c in ("docs", "versions", "places")]
+            if counts:
+                told.append(pa.array(sizes, pa.int32()))
+            else:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+                flat = np.concatenate(values) if values else np.empty(0, np.int16 if narrow else np.int32)
+                told.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
+            if sizes:
+                yield pa.RecordBatch.from_arrays(told, ["doc", "version", "pos", value.split()[0]])
+
+    cut = _cut(documents, doc, text, mean).repartition("key", "salt").sortWithinPartitions("key")
+    return cut.select("key", "piece", "docs", "versions", "places").mapInArrow(run, f"doc {kind}, version bigint, pos int, {value}")
+
+
+def _narrow(tokenizer: str, folder: str) -> bool:
+    """Whether the tokenizer's ids fit into 16 bits."""
+    return encoder(folder, tokenizer).n_vocab <= 1 << 16
+
+
+def gather(found: DataFrame) -> DataFrame:
+    """(doc, ids) of :func:`encoded_pieces`: the pieces of a document in order, repeated places once, as whole numbers."""
+    narrow = found.schema["ids"].dataType.elementType.simpleString() == "smallint"
+    by = found.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"), F.count_if(F.col("pos") == 0).alias("_n"))
+    once = F.when(F.col("_n") == 1, F.col("_p")).otherwise(F.filter("_p", lambda p, i: i % F.col("_n") == 0))
+    ids = F.flatten(F.transform(once, lambda p: p["ids"]))
+    return by.select("doc", F.transform(ids, lambda x: x.cast("int") + 32768) if narrow else ids).toDF("doc", "ids")
 
 
 def encode_corpus(documents: DataFrame, *, doc: str = "doc_id", **how: object) -> DataFrame:
@@ -148,12 +225,10 @@ def encode_corpus(documents: DataFrame, *, doc: str = "doc_id", **how: object) -
     document with different texts give one row each. Whatever stands in a text, names of special tokens
     included, is ordinary text. Other columns are ignored; an empty table gives no rows.
     """
-    found = encoded_pieces(documents, doc=doc, **how)
-    gathered = found.groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("_p"))
-    return gathered.select(F.col("doc").alias(doc), F.flatten(F.transform("_p", lambda p: p["ids"])).alias("ids"))
+    return gather(encoded_pieces(documents, doc=doc, **how)).withColumnRenamed("doc", doc)
 
 
 def token_counts(documents: DataFrame, *, doc: str = "doc_id", **how: object) -> DataFrame:
-    """(doc, tokens): only the number of ids, so no arrays are shuffled after the pieces are counted."""
-    found = encoded_pieces(documents, doc=doc, **how).select("doc", "version", "pos", F.size("ids").alias("n"))
-    return found.dropDuplicates(["doc", "version", "pos"]).groupBy("doc", "version").agg(F.sum("n").alias("tokens")).select(F.col("doc").alias(doc), "tokens")
+    """(doc, tokens): only the number of ids; no ids are shuffled. Repeated rows as in :func:`encode_corpus`."""
+    found = encoded_pieces(documents, doc=doc, counts=True, **how)
+    return found.groupBy("doc", "version").agg((F.sum("n") / F.count_if(F.col("pos") == 0)).cast("bigint").alias("tokens")).select(F.col("doc").alias(doc), "tokens")
