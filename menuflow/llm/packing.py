@@ -7,8 +7,8 @@ again, as items of their fill. Only an item larger than the capacity is split,
 into full containers and one rest that is packed like any other item.
 
 Plan: one shuffle by a hash of the item, sorted within the partition so a retried task packs alike; the
-packing pass holds ``windows`` numbers per capacity. The merge of a capacity is one task over at most
-partitions x windows rows (at most 512 x 64 by default), whatever the number of items.
+packing pass holds ``windows`` numbers per capacity. There are as many packing tasks as the session shuffles into. What they leave open is merged
+by capacity and block of :data:`BLOCK` tasks: a merge sees at most BLOCK x windows rows, however many items or tasks there are.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from menuflow.session import broadcast_if_small, cut_lineage
 
+#: Packing tasks whose open windows are merged together.
+BLOCK = 256
+
 
 class Windows:
     """At most ``limit`` open windows of one capacity, kept by their free space."""
@@ -70,13 +73,13 @@ def merge_windows(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(items: DataFrame, limits: DataFrame, *, item: str = "doc_id", size: str = "tokens", windows: int = 64, partitions: int | None = None, max_limits: int = 1000) -> DataFrame:
     """(limit_id, capacity, container, item, piece, start, size): which part of which item lies in which container.
 
-    ``limits`` has (limit_id, capacity), at most ``max_limits`` rows. ``start`` is the place of the piece in the item,
+    ``limits`` has (limit_id, capacity), at most ``max_limits`` rows; more raise a ValueError, none are dropped. ``start`` is the place of the piece in the item,
     ``piece`` counts from 0. Items without a size (null, 0 or less) lie in a container with size 0. Repeated rows
     of an item count once for each different size; items with a null key are left out. No items or no
     limits give no rows.
     """
     spark = items.sparkSession
-    count = partitions or min(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = items.schema[item].dataType.simpleString()
     asked = [tuple(r) for r in limits.select(F.col("limit_id").cast("int"), F.col("capacity").cast("bigint")).where("limit_id is not null and capacity > 0").distinct().limit(max_limits + 1).collect()]
     if len(asked) > max_limits:
@@ -114,7 +117,7 @@ def pack(items: DataFrame, limits: DataFrame, *, item: str = "doc_id", size: str
     # windows that are still open come as rows without an item, with their fill as start
     placed = cut_lineage(parts.mapInPandas(run, ASSIGNED.format(kind=kind)))
     left_over = placed.where("piece = -1").select("limit_id", "capacity", "window", F.col("start").alias("fill"))
-    merged = left_over.groupBy("limit_id").applyInPandas(merge_windows, "limit_id int, window bigint, container bigint")
+    merged = left_over.groupBy("limit_id", F.floor(F.col("window") / (BLOCK << 40))).applyInPandas(merge_windows, "limit_id int, window bigint, container bigint")
     return (
         placed.where("piece >= 0")
         .join(broadcast_if_small(merged, 200_000), ["limit_id", "window"], "left")
