@@ -47,6 +47,32 @@ def test_conflicts_are_found():
     with pytest.raises(visual_text.MappingConflict):
         visual_text.compile_mapping([("x", "a", "b"), ("x", "b", "a")])
     assert visual_text.compile_mapping([("x", "a", "b"), ("x", "b", "c")])["a"] == "c"
+    visual_text.compile_transducer(check=True)  # every output is a fixed point
+    trie = visual_text.Trie()
+    trie.add("ab", "x")
+    with pytest.raises(visual_text.MappingConflict):
+        trie.add("ab", "y")
+
+
+def test_the_longest_key_wins():
+    trie = visual_text.compile_transducer()
+    assert trie.rewrite("\uff76\uff9e") == "\u30ac" and trie.rewrite("\uff76") == "\u30ab"  # ka with a half-width mark, and without
+    assert trie.rewrite("\u041e\u0301") == "\u00d3"  # a Cyrillic letter with an accent is no key of Unicode's own
+    assert trie.rewrite("\uff21\u0302\u0301") == "\u1ea4"  # a full-width letter with two marks: three signs beat two
+    assert trie.rewrite("\u1100\u1161\u11a8") == "\uac01" and trie.rewrite("\u1100\u1161") == "\uac00"
+    small = visual_text.Trie()
+    for key, out in (("a", "1"), ("ab", "2"), ("abcd", "3")):
+        small.add(key, out)
+    assert small.rewrite("abcabcdaxab") == "2c31x2"
+
+
+def test_every_way_of_composing_is_one_form():
+    rnd = random.Random(9)
+    pool = "aAeoс\u041e\u041aヵ\uff76\uff9e\uff9fカが\u3099\u309a\u0327\u0323\u0301\u0302\u0306\u0308가각\u11a8\u1100\u1161\u200b\u200d\u00c2\u1ea4\u0905\u093c "
+    for _ in range(4000):
+        t = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 7)))
+        once = visual_text.canonical(t)
+        assert visual_text.canonical(unicodedata.normalize("NFD", t)) == visual_text.canonical(unicodedata.normalize("NFC", t)) == once, ascii(t)
 
 
 def test_pairs(spark, rows):
@@ -149,6 +175,43 @@ def test_languages(spark, rows):
     assert language.identify(df, {}).count() == 0
 
 
+def plain_distances(profiles, size, text):
+    """The out-of-place distances of one text, n-gram by n-gram."""
+    from collections import Counter
+
+    counts = Counter(language.grams(text))
+    counts.pop("_", None)
+    own = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+    ranks = {}
+    for n in {counts[g] for g in own}:
+        same = [i for i, g in enumerate(own) if counts[g] == n]
+        ranks[n] = sum(same) / len(same)
+    if not any(g in p for p in profiles.values() for g in own):
+        return None
+    return {lang: sum(abs(p[g] - ranks[counts[g]]) if g in p else size for g in own) / len(own) for lang, p in profiles.items()}
+
+
+def test_distances_equal_a_plain_computation():
+    from collections import Counter
+
+    profiles = {}
+    for lang, ts in SAMPLES.items():
+        c = Counter(g for t in ts for g in language.grams(t) if g != "_")
+        profiles[lang] = {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:60])}
+    rnd = random.Random(2)
+    words = [w for ts in SAMPLES.values() for t in ts for w in t.split()] + ["l'été", "d'un'altro", "'x'", "<b class='y'>", "&nbsp;", "a@b.example", "https://x.example/y", "𠮷野家", "e\u0301t", "12", "—", "'"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + ["", "!!!", "x" * 5000]
+    judge = language.Judge(profiles, 60)
+    has, d = judge.distances(texts)
+    for t, ok, row in zip(texts, has, d):
+        expected = plain_distances(profiles, 60, t)
+        assert (expected is None) == (not ok), t
+        if expected:
+            assert [round(expected[x], 6) for x in judge.languages] == [round(float(v), 6) for v in row], t
+    together = judge.many(texts)
+    assert [x[:2] for x in together] == [judge.many([t])[0][:2] for t in texts]
+
+
 # --- surviving records
 
 S = survivors
@@ -234,27 +297,86 @@ def test_ambiguous_names_mean_none(spark):
     assert {r["entry_id"]: r["ref_id"] for r in found.collect()} == {1: 0, 2: -1, 3: 1, 4: -1, 5: 0, 6: 100}
 
 
-def test_components_are_learned_from_names():
+def test_components_are_learned_from_names(spark):
     rnd = random.Random(5)
     parts = [sorted({"".join(rnd.choice("あいうえおかきくけこさしすせそたちつてと") for _ in range(rnd.randint(2, 5))) for _ in range(16)}) for _ in range(3)]
     names = ["".join(rnd.choice(p) for p in parts) for _ in range(900)]
-    learned = name_mapping.learn_components(names, least=15)
+    learned = name_mapping.learn(spark.createDataFrame([(n,) for n in names], "name string"), first_share=5 / 900, share=15 / 900)
     words = {w for p in parts for w in p}
-    assert len(words & set(learned)) >= 0.9 * len(words)
-
-
-def test_explanations():
-    words = "濃厚 まかない風 屋台風 チーズ バジル 醤油 チキン 海老 豆腐 カレー鍋 うどん ピザ".split()
-    c = name_mapping.Components({name_mapping.fold(w): 40 for w in words})
-    item = name_mapping.fold("濃厚チーズチキンピザ")
-    good = ["ﾉｳｺｳチーズチキンピザ", "チーズ濃厚チキンピザ", "濃厚チキンピザ", "濃厚チーズチッキンピザ", "NEW 濃厚チーズチキンpizza"]
-    bad = ["濃厚チーズ海老ピザ", "濃厚チーズチキンうどん", "濃厚バジルチキンピザ", "日替わり", "ピザ"]
-    assert [c.explain(name_mapping.fold(x), item) is not None for x in good] == [True] * len(good)
-    assert [c.explain(name_mapping.fold(x), item) is not None for x in bad] == [False] * len(bad)
-    rnd = random.Random(3)
-    for _ in range(200):
-        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6))) for _ in range(2))
-        assert name_mapping.edits(a, b) == name_mapping.edits(b, a) and (name_mapping.edits(a, b) == 0) == (a == b)
+    assert len(words & set(learned.cost)) >= 0.9 * len(words)
+    assert set(learned.weight) == {g for w in learned.cost for g in name_mapping.component_grams(w)}
+    assert name_mapping.learn(spark.createDataFrame([], "name string")).cost == {}
+
+
+def noisy(name, rnd, words, typos=1):
+    """A name in another writing, misspelt, reordered, shortened or with additions."""
+    t = name
+    kind = rnd.choice(["width", "typo", "order", "short", "add", "same"])
+    if kind == "typo":
+        for _ in range(typos):
+            i = rnd.randrange(1, len(t) - 1)
+            t = t[:i] + rnd.choice([t[i + 1 :], t[i] + t[i:], t[i + 1] + t[i] + t[i + 2 :]])
+    elif kind == "order":
+        t = words[1] + words[0] + "".join(words[2:])
+    elif kind == "short":
+        t = "".join(words[1:])
+    elif kind == "add":
+        t = rnd.choice(["【期間限定】", "新発売!", ""]) + t + rnd.choice([" ※写真はイメージ", " 980円", ""])
+    return unicodedata.normalize("NFKC", t)
+
+
+def test_recall_and_precision_of_noisy_names(spark):
+    rnd = random.Random(12)
+    signs = [chr(c) for c in range(0x4E00, 0x4F80)] + [chr(c) for c in range(0x30A2, 0x30F0)]
+    parts = [["".join(rnd.choice(signs) for _ in range(rnd.randint(2, 4))) for _ in range(30)] for _ in range(4)]
+    items = {}
+    while len(items) < 500:
+        w = [rnd.choice(p) for p in parts]
+        items.setdefault("".join(w), (len(items), rnd.choice("abcdefgh"), w))
+    other_writing = {parts[2][0]: "ほかの書き方", parts[3][1]: "べつ"}  # two components that are also written otherwise
+    entries, truth = [], {}
+    for i in range(3000):
+        name, (ref, chain, w) = rnd.choice(list(items.items()))
+        if rnd.random() < 0.2:  # another dish of the same words
+            k = rnd.randrange(4)
+            w = [*w[:k], rnd.choice([x for x in parts[k] if x != w[k]]), *w[k + 1 :]]
+            truth[i] = next((r for n, (r, c, _) in items.items() if n == "".join(w) and c == chain), -1)
+            entries.append((i, chain, "".join(w)))
+            continue
+        truth[i] = ref
+        typed = noisy(name, rnd, w)
+        for a, b in other_writing.items():
+            typed = typed.replace(a, b)
+        entries.append((i, chain, typed))
+    e = spark.createDataFrame(entries, "entry_id bigint, chain string, name string")
+    r = spark.createDataFrame([(ref, chain, n) for n, (ref, chain, _) in items.items()], "ref_id bigint, chain string, canonical_name string")
+    found = {x["entry_id"]: x["ref_id"] for x in name_mapping.map_names(e, r).collect()}
+    told = [i for i in truth if found[i] != -1]
+    assert sum(found[i] == truth[i] for i in told) >= 0.9 * len(told)
+    meant = [i for i in truth if truth[i] != -1]
+    assert sum(found[i] == truth[i] for i in meant) >= 0.9 * len(meant)
+
+
+def test_prefixes_lose_no_pair_above_the_threshold(spark):
+    ref = reference(7)
+    language = name_mapping.learn(spark.createDataFrame([(name_mapping.fold(r[2]),) for r in ref], "name string"))
+    rnd = random.Random(1)
+    names = [name_mapping.fold(r[2]) for r in ref] + ["".join(rnd.choice(ref)[2][i : i + 3] for i in (0, 3, 6)) for _ in range(100)]
+    rows = name_mapping._vectors(spark.createDataFrame([(n,) for n in set(names)], "k string"), "k", language, 0.7).collect()
+    close = 0
+    for a in rows:
+        for b in rows:
+            if sum(b["_parts"].get(i, 0) for i in a["_ids"]) >= 0.7 * a["_norm"] * b["_norm"]:
+                close += 1
+                assert set(a["_prefix"]) & set(b["_prefix"])
+    assert close > len(rows)
+
+
+def test_one_name_in_most_entries(spark):
+    ref = spark.createDataFrame([r[:3] for r in reference()], "ref_id bigint, chain string, canonical_name string")
+    hot = spark.range(5000).selectExpr("id as entry_id", "cast(null as string) as chain", f"'{reference()[0][2]}' as name")
+    found = name_mapping.map_names(hot, ref)
+    assert found.groupBy("ref_id").count().collect() == [(0, 5000)]
 
 
 # --- the queries
