@@ -52,3 +52,14 @@ def effective_date(launch: Column, reappeared: Column, first_seen: Column) -> Co
 def period_text(start: Column, end: Column, past: Column) -> Column:
     """``start〜end`` in display form, with a remark where the end is past."""
     return F.concat(F.coalesce(ja_date(start), F.lit("")), F.lit("〜"), F.coalesce(F.concat(ja_date(end), F.when(past, F.lit("(終了)")).otherwise("")), F.lit("")))
+
+
+def compact_date(c: Column, open_end: str = "99991231") -> Column:
+    """The day of ``yyyymmdd``; null for the sign of an open end and for what isn't a day."""
+    part = lambda i, n: F.substring(c, i, n)
+    return F.when(c.rlike("^[0-9]{8}$") & (c != open_end), F.concat(part(1, 4), F.lit("-"), part(5, 2), F.lit("-"), part(7, 2)).try_cast("date"))
+
+
+def is_dated(c: Column, pattern: str = r"20[0-9]{6}") -> Column:
+    """Whether a key is a date as a whole: by default ``20`` and six digits."""
+    return c.rlike(f"^(?:{pattern})$")

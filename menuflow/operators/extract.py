@@ -198,3 +198,33 @@ def api_menu(good: DataFrame, *, keep: Sequence[str] = (), drop: str = "セッ
     items = cats.select(*keep, "_c", F.col("_cat.menuCategoryNm").alias("section"), F.posexplode("_cat.menuInfo").alias("_i", "_m"))
     flat = items.select(*keep, F.col("_m.menuCd").alias("product_id"), F.col("_m.menuNm").alias("name"), to_number(F.col("_m.dineInPrc")).cast("int").alias("price"), "section", (F.col("_c").cast("bigint") * 1_000_000 + F.col("_i")).alias("card_ord"))
     return first_by_priority(flat.where(~F.contains("name", F.lit(drop))), keys=[*keep, "product_id"], low=low)
+
+
+def strict_allergens(codes: Column, names: Sequence[str]) -> Column:
+    """(contains, partial) from a map of allergen to code, in the order of ``names``: 1 says contained, 5 in part; null as a whole if any other
+    code stands there (a table that isn't understood says nothing)."""
+    sound = F.forall(F.map_values(codes), lambda v: v.isNull() | v.isin("", "0", "1", "5"))
+    of = lambda code: F.filter(F.array(*(F.when(F.try_element_at(codes, F.lit(n)) == code, F.lit(n)) for n in names)), lambda x: x.isNotNull())
+    return F.when(sound, F.struct(of("1").alias("contains"), of("5").alias("partial")))
+
+
+def levelled_allergens(levels: Column) -> Column:
+    """(contains, partial, unknown) from an array of (name, level): level 5 is contained, 1 in part, any other unknown; sorted."""
+    of = lambda ok: F.array_sort(F.array_distinct(F.transform(F.filter(levels, ok), lambda x: x["name"])))
+    return F.struct(of(lambda x: x["level"] == 5).alias("contains"), of(lambda x: x["level"] == 1).alias("partial"), of(lambda x: ~F.coalesce(x["level"].isin(1, 5), F.lit(False))).alias("unknown"))
+
+
+def takeout(tabs: Column, caption: Column, yes: str = "持ち帰り", no: str = "店内のみ") -> Column:
+    """Whether an item can be taken out: true if a tab or the caption says so, false if one says the opposite, else null."""
+    said = lambda word: F.coalesce(F.exists(tabs, lambda t: F.contains(t, F.lit(word))), F.lit(False)) | F.coalesce(F.contains(caption, F.lit(word)), F.lit(False))
+    return F.when(said(no), False).when(said(yes), True)
+
+
+def paged_articles(pages: DataFrame, schema: str, *, keep: Sequence[str] = (), page: str = "page", total: str = "total_pages", body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(articles, missing): the articles of landed answers of a paged source, each id once, the copy of the first page kept; and the
+    (keep, page) that the answers' own total says but that are absent or can't be read as a list of ``schema`` (which has an ``id``)."""
+    parsed = pages.withColumn("_a", F.from_json(body, f"array<{schema}>"))
+    flat = parsed.select(*keep, F.col(page).alias("_p"), F.posexplode("_a").alias("_o", "_x")).where(F.col("_x.id").isNotNull())
+    articles = flat.groupBy(*keep, F.col("_x.id").alias("id")).agg(F.min_by("_x", F.struct("_p", "_o")).alias("_b")).select(*keep, "_b.*")
+    wanted = pages.groupBy(*keep).agg(F.max(total).alias("_n")).where("_n > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias(page))
+    return articles, wanted.join(parsed.where("_a is not null").select(*keep, page).distinct(), [*keep, page], "left_anti")

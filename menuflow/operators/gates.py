@@ -47,3 +47,20 @@ def abort_if_half_fail(checked: DataFrame, *, keys: Sequence[str], ok: str) -> D
     """The rows of ``keys`` of which fewer than half fail; a batch of which half or more fail is dropped as a whole."""
     bad = checked.groupBy(*keys).agg(F.avg((~F.coalesce(F.col(ok), F.lit(False))).cast("double")).alias("_f")).where("_f >= 0.5").select(*keys)
     return checked.join(bad, [*keys], "left_anti").where(F.col(ok))
+
+
+def update_run(heads: DataFrame, state: DataFrame, rows: DataFrame, *, key: str, signature: str, ok: Column, complete: Column, today: Column, rows_least: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(rows to apply, new state) of a run over sources: those whose signature changed (:func:`sources_to_read`) are read, judged as a whole
+    (:func:`source_gate`), applied if they pass, and remembered - with their signature, or as bad so that they aren't tried again until it changes.
+
+    ``heads`` has (key, signature), ``state`` (key, signature, checked, bad_signature), ``rows`` what was parsed of any source. Sources that
+    weren't read keep their state; a read source without rows is bad.
+    """
+    due = sources_to_read(heads, state, key=key, signature=signature, checked="checked", today=today)
+    read = due.join(heads, key)
+    judged = source_gate(rows.join(read.select(key), key, "left_semi"), keys=[key], ok=ok, complete=complete, rows_least=rows_least)
+    outcome = read.join(judged.select(key, F.col("reason").alias("_why"), F.lit(True).alias("_has")), key, "left").withColumn("good", F.col("_has").isNotNull() & F.col("_why").isNull())
+    applied = rows.join(outcome.where("good").select(key), key, "left_semi")
+    new = outcome.select(key, F.when(F.col("good"), F.col(signature)).alias(signature), today.alias("checked"), F.when(~F.col("good"), F.col(signature)).alias("bad_signature"))
+    old = state.select(key, signature, "checked", "bad_signature").join(outcome.select(key), key, "left_anti")
+    return applied, old.unionByName(new)

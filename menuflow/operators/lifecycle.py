@@ -88,14 +88,14 @@ def burst_limit(n: Column, floor: int = 10, share: float = 0.25) -> Column:
     return F.greatest(F.lit(floor), F.floor(n * share).cast("int"))
 
 
-def holds(counts: DataFrame, *, keys: Sequence[str], date: str, total: str, unknown: str, escalate: int = 3) -> DataFrame:
+def holds(counts: DataFrame, *, keys: Sequence[str], date: str, total: str, unknown: str, escalate: int = 3, floor: int = 10, share: float = 0.25) -> DataFrame:
     """(keys, date, total, unknown, limit, held, hold_days, escalated): runs with more unknown items than the limit are held.
 
     ``hold_days`` counts the held runs since the last run that wasn't; gaps between dates don't reset it. A
     scope's first run is exempt. From ``escalate`` held runs on the hold is passed on.
     """
     w = Window.partitionBy(*keys).orderBy(date)
-    limit = burst_limit(F.col(total))
+    limit = burst_limit(F.col(total), floor, share)
     judged = counts.withColumns({"limit": limit, "held": (F.col(unknown) > limit) & (F.row_number().over(w) > 1)})
     judged = judged.withColumn("_g", F.sum((~F.col("held")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     w2 = Window.partitionBy(*keys, "_g").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
@@ -103,6 +103,13 @@ def holds(counts: DataFrame, *, keys: Sequence[str], date: str, total: str, unkn
     return judged.select(*keys, date, total, unknown, "limit", "held", F.col("hold_days").cast("int").alias("hold_days"), (F.col("hold_days") >= escalate).alias("escalated"))
 
 
+def held_rows(rows: DataFrame, judged: DataFrame, known: DataFrame, *, keys: Sequence[str], date: str, key: str) -> DataFrame:
+    """The rows of every run as far as they may be applied, with ``list_ok``: a held run (see :func:`holds`) keeps its known items only."""
+    gate = judged.select(*keys, date, (~F.col("held")).alias("list_ok"))
+    told = rows.join(gate, [*keys, date]).join(known.select(*keys, key).distinct().withColumn("_known", F.lit(True)), [*keys, key], "left")
+    return told.where(F.col("list_ok") | F.col("_known").isNotNull()).drop("_known")
+
+
 def ratio_guard(counts: DataFrame, *, keys: Sequence[str], date: str, n: str, ratio: float = 0.5) -> DataFrame:
     """(keys, date, n, previous, ok): a run with fewer than ``ratio`` times the items of the run before isn't ok."""
     w = Window.partitionBy(*keys).orderBy(date)

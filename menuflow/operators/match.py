@@ -15,21 +15,11 @@ def in_window(date: Column, reference: Column, before: int, after: int) -> Colum
     return date.between(F.date_sub(reference, before), F.date_add(reference, after))
 
 
-def latest_in_window(items: DataFrame, news: DataFrame, *, on: Sequence[str], reference: str, date: str, before: int, after: int, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
+def latest_in_window_binned(items: DataFrame, news: DataFrame, *, on: Sequence[str], reference: str, date: str, before: int, after: int, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Items with the latest announcement of their ``on`` columns within the window around ``reference``; ties by ``tie``.
 
-    An equi-join on ``on`` with the interval as residual, reduced by a grouped maximum in the map tasks. For few
-    distinct ``on`` values and long histories see :func:`latest_in_window_binned`.
-    """
-    n = news.select(*on, date, *(F.col(c).alias(f"_t_{c}") for c in tie))
-    hit = items.select(*keys, *on, reference).join(n, [*on]).where(in_window(F.col(date), F.col(reference), before, after))
-    best = hit.groupBy(*keys, *on, reference).agg(F.max(F.struct(date, *(f"_t_{c}" for c in tie))).alias("_b"))
-    return best.select(*keys, *on, reference, F.col(f"_b.{date}").alias(date), *(F.col(f"_b._t_{c}").alias(c) for c in tie))
-
-
-def latest_in_window_binned(items: DataFrame, news: DataFrame, *, on: Sequence[str], reference: str, date: str, before: int, after: int, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """As :func:`latest_in_window`, with time bins as part of the join key, so that a hot ``on`` value is spread over
-    its bins and an item only meets announcements of the bins its window touches."""
+    An equi-join on ``on`` and time bins as wide as the window, so that a hot ``on`` value is spread over
+    its bins and an item only meets announcements of the bins its window touches; reduced by a grouped maximum in the map tasks."""
     width = before + after + 1
     bin_of = lambda c: F.floor(F.unix_date(c) / width)
     n = news.withColumn("_bin", bin_of(F.to_date(date))).select(*on, "_bin", date, *(F.col(c).alias(f"_t_{c}") for c in tie))
@@ -81,36 +71,6 @@ def siblings(items: DataFrame, *, group: Sequence[str], key: str) -> DataFrame:
     return by.where("n > 1")
 
 
-def nearest_in_order(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, bins: int = 16) -> DataFrame:
-    """(scope, key, near, distance, rank): for each item its ``k`` nearest of the scope by ``value``, ties by key.
-
-    The k nearest of a value stand among the k before and the k after it in sorted order, so two windows give all candidates:
-    2k per item, and no other pair is formed. A scope is cut into ``bins`` at approximate quantiles, so that a hot one
-    isn't sorted in one task; each bin borrows the k rows before and after it, which are at most 2 x bins x k rows a scope.
-    Items with a null value or key are left out; at the k-th distance the smallest keys among the neighbours in order are kept;
-    where more than ``k`` items are equally far, :func:`nearest` is exact.
-    """
-    told = items.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*scope, F.col(key).alias("_k"), F.col(value).alias("_v"))
-    cuts = told.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 1000).alias("_q"))
-    binned = told.join(cuts, [*scope]).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_v")))).select(*scope, "_bin", "_k", "_v")
-
-    def edge(ascending: bool) -> DataFrame:
-        order = [F.asc("_v"), F.asc("_k")] if ascending else [F.desc("_v"), F.desc("_k")]
-        first = binned.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
-        others = F.sequence(F.lit(0), F.col("_bin") - 1) if ascending else F.sequence(F.col("_bin") + 1, F.lit(bins - 1))
-        has = (F.col("_bin") > 0) if ascending else (F.col("_bin") < bins - 1)
-        lent = first.where(has).withColumn("_bin", F.explode(others))
-        return lent.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
-
-    lent = edge(True).unionByName(edge(False)).withColumn("_own", F.lit(False))
-    rows = binned.withColumn("_own", F.lit(True)).unionByName(lent)
-    w = Window.partitionBy(*scope, "_bin").orderBy("_v", "_k")
-    near = [F.struct(f("_k", i).over(w).alias("near"), f("_v", i).over(w).alias("_v")) for f in (F.lag, F.lead) for i in range(1, k + 1)]
-    listed = rows.select(*scope, "_own", "_k", "_v", F.filter(F.array(*near), lambda x: x["near"].isNotNull()).alias("_n")).where("_own")
-    ranked = F.slice(F.array_sort(F.transform("_n", lambda x: F.struct(F.abs(x["_v"] - F.col("_v")).alias("distance"), x["near"].alias("near")))), 1, k)
-    return listed.select(*scope, F.col("_k").alias(key), F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
-
-
 def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, bins: int = 16) -> DataFrame:
     """(scope, key, near, distance, rank): for each item its ``k`` nearest of the scope by ``value``, ties by key.
 
@@ -177,27 +137,72 @@ def quote_keys(title: Column, split: str | None = None, drop_brackets: bool = Fa
     return F.array_distinct(F.filter(found, lambda q: F.length(q) >= 2))
 
 
-def launches(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: str, name: Column, reference: str, title: str, date: str, before: int = 120, after: int = 14, words: str, no_words: str, split: str | None = None, drop_brackets: bool = False, least: int = 4) -> DataFrame:
+def launches(
+    items: DataFrame,
+    news: DataFrame,
+    *,
+    scope: Sequence[str],
+    key: str,
+    name: Column,
+    reference: str,
+    title: str,
+    date: str,
+    before: int = 120,
+    after: int = 14,
+    words: str,
+    no_words: str,
+    split: str | None = None,
+    drop_brackets: bool = False,
+    least: int = 4,
+    strict: int | None = None,
+    need_day: bool = True,
+) -> DataFrame:
     """(scope, key, date, title, launch): the latest announcement within the window that names the item.
 
     An announcement counts if it has a launch word and none of the others. It names an item if a quoted text has the item's
     key (an equi-join of exploded quotes) or, without any quotes, if it contains a name of at least ``least`` signs (blocked by
-    the name's first signs). ``launch`` is the day the headline tells, near the announcement's.
+    the name's first signs). With ``strict`` only quotes count that a launch word follows within so many signs. ``launch`` is the day the headline tells, near the
+    announcement's; with ``need_day`` announcements without one don't count, so an earlier one that tells it stands. Ties go to the greatest title.
     """
     from menuflow.functions.dates import headline_date
-    from menuflow.functions.text import match_key
+    from menuflow.functions.text import launch_quotes, match_key
 
-    told = news.where(F.col(title).rlike(words) & ~F.col(title).rlike(no_words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title"), quote_keys(F.col(title), split, drop_brackets).alias("_q"))
+    found = launch_quotes(F.col(title), words, strict) if strict is not None else quote_keys(F.col(title), split, drop_brackets)
+    told = news.where(F.col(title).rlike(words) & ~F.col(title).rlike(no_words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title"), found.alias("_q"), headline_date(F.col(title), F.col(date)).alias("launch"))
+    if need_day:
+        told = told.where("launch is not null")
     named = items.select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.col("_k") != "")
-    exact = told.select(*scope, "date", "title", F.explode("_q").alias("_quote")).withColumn("_k", match_key(F.col("_quote"))).join(named, [*scope, "_k"])
-    loose = told.where(F.size("_q") == 0).withColumn("_t", match_key(F.col("title")))
-    parts = loose.select(*scope, "date", "title", "_t", F.explode(runs(F.col("_t"), least)).alias("_run"))
-    heads = named.where(F.length("_k") >= least).withColumn("_run", F.substring("_k", 1, least))
-    within = parts.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k"))
-    columns = [*scope, key, "_ref", "date", "title"]
-    hit = exact.select(*columns).unionByName(within.select(*columns)).where(in_window(F.col("date"), F.col("_ref"), before, after))
-    best = hit.groupBy(*scope, key).agg(F.max(F.struct("date", "title")).alias("_b")).select(*scope, key, "_b.date", "_b.title")
-    return best.withColumn("launch", headline_date(F.col("title"), F.col("date")))
+    columns = [*scope, key, "_ref", "date", "title", "launch"]
+    hit = told.select(*scope, "date", "title", "launch", F.explode("_q").alias("_quote")).withColumn("_k", match_key(F.col("_quote"))).join(named, [*scope, "_k"]).select(*columns)
+    if strict is None:
+        loose = told.where(F.size("_q") == 0).withColumn("_t", match_key(F.col("title")))
+        parts = loose.select(*scope, "date", "title", "launch", "_t", F.explode(runs(F.col("_t"), least)).alias("_run"))
+        heads = named.where(F.length("_k") >= least).withColumn("_run", F.substring("_k", 1, least))
+        hit = hit.unionByName(parts.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k")).select(*columns))
+    near = hit.where(in_window(F.col("date"), F.col("_ref"), before, after))
+    return near.groupBy(*scope, key).agg(F.max(F.struct("date", "title", "launch")).alias("_b")).select(*scope, key, "_b.date", "_b.title", "_b.launch")
+
+
+def body_launches(items: DataFrame, articles: DataFrame, found: DataFrame, *, scope: Sequence[str], key: str, name: Column, reference: str, body: str, date: str, before: int = 14, after: int = 7, words: str, least: int = 4) -> DataFrame:
+    """(scope, key, date): for items that :func:`launches` didn't find, the latest article of a narrower window whose body has a launch word and
+    contains the item's name of at least ``least`` signs; an equi-join on the name's first signs. Bodies travel once, by key."""
+    from menuflow.functions.text import match_key
+
+    open_ = items.join(found.select(*scope, key).distinct(), [*scope, key], "left_anti").select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.length("_k") >= least)
+    told = articles.where(F.col(body).rlike(words)).select(*scope, F.col(date).alias("date"), match_key(F.col(body)).alias("_t"))
+    parts = told.withColumn("_run", F.explode(runs(F.col("_t"), least)))
+    hit = parts.join(open_.withColumn("_run", F.substring("_k", 1, least)), [*scope, "_run"]).where(F.contains("_t", "_k") & in_window(F.col("date"), F.col("_ref"), before, after))
+    return hit.groupBy(*scope, key).agg(F.max("date").alias("date"))
+
+
+def end_notices(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: str, name: Column, since: str, until: str, title: str, date: str, words: str = "終了") -> DataFrame:
+    """(scope, key, date, title): the latest announcement from ``since`` to ``until`` (columns of the items) that quotes the item and says it ends."""
+    from menuflow.functions.text import match_key, quotes
+
+    told = news.where(F.col(title).rlike(words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title"), F.explode(F.array_distinct(quotes(F.col(title)))).alias("_q")).withColumn("_k", match_key(F.col("_q")))
+    named = items.select(*scope, key, F.col(since).alias("_since"), F.col(until).alias("_until"), match_key(name).alias("_k")).where(F.col("_k") != "")
+    hit = told.join(named, [*scope, "_k"]).where(F.col("date").between(F.col("_since"), F.col("_until")))
+    return hit.groupBy(*scope, key).agg(F.max(F.struct("date", "title")).alias("_b")).select(*scope, key, "_b.*")
 
 
 def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str], key: str, name: Column, launch: str, review: str, review_name: Column, date: str, least: int = 6, early: int = 14) -> DataFrame:
@@ -225,3 +230,16 @@ def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str],
 def unmatched(items: DataFrame, found: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Items that still lack a launch and have no match yet: what the next run tries again."""
     return items.where("launch_date is null and not coalesce(is_regular, false)").join(found.select(*keys), [*keys], "left_anti")
+
+
+def near_misses(items: DataFrame, reviews: DataFrame, linked: DataFrame, *, scope: Sequence[str], key: str, name: Column, review: str, review_name: Column, least: int = 4, limit: int = 20) -> DataFrame:
+    """(scope, review, key, common): for reviews without a link, the ``limit`` pairs of a scope with the longest common beginning of at least ``least``
+    signs; ties by review and key. A report: pairs meet by their first ``least`` signs."""
+    from menuflow.functions.text import common_prefix, review_key
+
+    open_ = reviews.join(linked.select(*scope, review).distinct(), [*scope, review], "left_anti").select(*scope, review, review_key(review_name).alias("_b"))
+    a = items.select(*scope, key, review_key(name).alias("_a"))
+    head = lambda df, c: df.where(F.length(c) >= least).withColumn("_run", F.substring(c, 1, least))
+    pairs = head(open_, "_b").join(head(a, "_a"), [*scope, "_run"]).select(*scope, review, key, common_prefix(F.col("_a"), F.col("_b")).alias("common")).distinct()
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("common"), review, key)))
+    return ranked.where(F.col("_r") <= limit).drop("_r")

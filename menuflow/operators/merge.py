@@ -91,3 +91,56 @@ def override(old: DataFrame, new: DataFrame, *, keys: Sequence[str]) -> DataFram
 def dead_letters(pending: DataFrame, failed: DataFrame, done: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Pending failures after a run: new failures replace old ones of their key, successes remove them."""
     return override(pending, failed, keys=keys).join(done.select(*keys), [*keys], "left_anti")
+
+
+def recheck_queue(products: DataFrame, listed: DataFrame, *, scope: Sequence[str], key: str, checked: str, today: Column, limit: Column | int) -> DataFrame:
+    """(scope, key, rank): what to check again: on sale, listed today and not checked today, those never checked first, then by the day of the last
+    check and key; at most ``limit`` of a scope (a number or a column of ``listed``)."""
+    extra = [] if isinstance(limit, int) else [F.max(limit).alias("_limit")]
+    known = listed.groupBy(*scope, key).agg(F.count(F.lit(1)).alias("_"), *extra)
+    open_ = products.where((F.col("status") == "on_sale") & ~F.coalesce(F.to_date(checked) == today, F.lit(False))).join(known, [*scope, key])
+    ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.asc_nulls_first(checked), key)))
+    return ranked.where(F.col("rank") <= (limit if isinstance(limit, int) else F.col("_limit"))).select(*scope, key, "rank")
+
+
+def creations(fresh: DataFrame, failed: DataFrame, *, scope: Sequence[str], key: str, order: Sequence[str], limit: int) -> DataFrame:
+    """(scope, key, outcome): of a run's new items the first ``limit`` in listing order are tried - ``created``, or ``failed`` where ``failed`` has
+    them, which uses up the budget as well - and the rest is ``deferred``."""
+    ranked = budget(fresh, scope=scope, order=[*order, key], limit=limit).join(failed.select(*scope, key).distinct().withColumn("_f", F.lit(True)), [*scope, key], "left")
+    outcome = F.when(~F.col("within"), "deferred").when(F.col("_f"), "failed").otherwise("created")
+    return ranked.select(*scope, key, outcome.alias("outcome"))
+
+
+def migrate_keys(products: DataFrame, moves: DataFrame, *, scope: Sequence[str], key: str, born: str) -> DataFrame:
+    """(scope, key, action, target): what a change of keys does to stored records: nothing is written, so this is also the dry run.
+
+    ``moves`` maps (scope, old) to new. A record under an old key is ``rename``d; if the new key exists already the younger of the two
+    is a false new: it is ``delete``d and the older one stands under the new key (``merge``). Other records ``keep`` their key. A second run over the outcome changes nothing.
+    """
+    p = products.select(*scope, F.col(key).alias("_k"), F.col(born).alias("_b"))
+    m = moves.select(*scope, F.col("old").alias("_k"), F.col("new").alias("_new")).distinct()
+    target = p.join(m, [*scope, "_k"], "left").withColumn("_t", F.coalesce("_new", "_k"))
+    group = Window.partitionBy(*scope, "_t")
+    ranked = target.withColumns({"_n": F.count(F.lit(1)).over(group), "_r": F.row_number().over(group.orderBy("_b", "_k"))})
+    action = F.when(F.col("_r") > 1, "delete").when(F.col("_n") > 1, "merge").when(F.col("_t") != F.col("_k"), "rename").otherwise("keep")
+    return ranked.select(*scope, F.col("_k").alias(key), action.alias("action"), F.col("_t").alias("target"))
+
+
+def ended_within(status: Column, ended: Column, today: Column, days: int) -> Column:
+    """Ended at most ``days`` before ``today``; false where the day isn't known."""
+    return F.coalesce((status == "ended") & F.datediff(today, ended).between(0, days), F.lit(False))
+
+
+def without(rows: DataFrame, *, name: str, words: str, category: str, categories: Sequence[str], price: str, least_price: int) -> DataFrame:
+    """Rows but for those whose name has one of ``words`` (a pattern), of ``categories``, or with a price below ``least_price``; what is null doesn't exclude."""
+    out = F.col(name).rlike(words), F.col(category).isin(*categories), F.col(price) < least_price
+    keep = F.lit(True)
+    for c in out:
+        keep &= ~F.coalesce(c, F.lit(False))
+    return rows.where(keep)
+
+
+def told(c: Column, include: Sequence[str], exclude: Sequence[str] = ()) -> Column:
+    """Whether a text has any of the words to include and none of those to exclude; false for null."""
+    any_of = lambda words: F.coalesce(F.exists(F.array(*(F.contains(c, F.lit(w)) for w in words)), lambda x: x), F.lit(False)) if words else F.lit(False)
+    return any_of(include) & ~any_of(exclude)

@@ -19,6 +19,24 @@ def price_events(products: DataFrame, *, keys: Sequence[str], history: str = "pr
     return out.where(F.col("old") != F.col("new")).withColumn("diff", F.col("new") - F.col("old"))
 
 
+def variant_price_events(products: DataFrame, *, keys: Sequence[str], history: str = "variant_history") -> DataFrame:
+    """(keys, date, label, old, new, diff): price changes of a record, for each label of a variant and, with a null label, the first one, which stands for the item.
+
+    ``history`` is an array of (date, variants), variants an array of (label, price). A label is compared with the same label one
+    entry before; null and equal prices are no events. A variant's event that says the same (date, old, new) as the item's own is left out.
+    Works on the array of each record: no shuffle.
+    """
+    at = lambda i: F.get(history, i)
+    price_of = lambda e, label: F.get(F.filter(e["variants"], lambda v: v["label"] == label), F.lit(0))["price"]
+    event = lambda label, i, old, new: F.struct(at(i)["date"].alias("date"), label.alias("label"), old.alias("old"), new.alias("new"))
+    base = F.transform(F.col("_i"), lambda i: event(F.lit(None).cast("string"), i, at(i - 1)["variants"][0]["price"], at(i)["variants"][0]["price"]))
+    each = F.flatten(F.transform(F.col("_i"), lambda i: F.transform(at(i)["variants"], lambda v: event(v["label"], i, price_of(at(i - 1), v["label"]), v["price"]))))
+    differs = lambda e: e["old"].isNotNull() & e["new"].isNotNull() & (e["old"] != e["new"])
+    told = products.where(F.size(history) > 1).withColumn("_i", F.sequence(F.lit(1), F.size(history) - 1)).select(*keys, F.filter(base, differs).alias("_b"), F.filter(each, differs).alias("_v"))
+    same = lambda v: F.exists("_b", lambda b: b["date"].eqNullSafe(v["date"]) & (b["old"] == v["old"]) & (b["new"] == v["new"]))
+    return told.select(*keys, F.inline(F.concat("_b", F.filter(F.array_distinct("_v"), lambda v: ~same(v))))).withColumn("diff", F.col("new") - F.col("old"))
+
+
 def latest_date(*dates: Column) -> Column:
     """The latest of several dates, nulls left out."""
     return F.array_max(F.filter(F.array(*dates), lambda d: d.isNotNull()))
@@ -44,6 +62,24 @@ def search(index: DataFrame, text: str, *, columns: Sequence[str] = ("n",), orde
     return index.where(hit).orderBy(*order).limit(limit)
 
 
+def places(rows: DataFrame, *, scope: Sequence[str], group: str, order: Sequence[Column | str]) -> DataFrame:
+    """Rows with ``pos``: their place in the scope by group (nulls last) and ``order``. Places are counted within a group and shifted by the sizes of
+    the groups before it, which are a small table, so only a group is sorted in one task."""
+    inner = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*scope, group).orderBy(*order)))
+    sizes = rows.groupBy(*scope, group).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*scope).orderBy(F.asc_nulls_last(group)).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*(F.col(c).alias(f"_s_{c}") for c in scope), F.col(group).alias("_g"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
+    on = F.col(group).eqNullSafe(F.col("_g"))
+    for c in scope:
+        on &= F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return inner.join(shifts, on).withColumn("pos", F.col("_n") + F.col("_shift")).drop("_n", "_shift", "_g", *(f"_s_{c}" for c in scope))
+
+
+def run_priority(runs: DataFrame, *, blocked: str, failed: str, many: int) -> DataFrame:
+    """Runs with ``priority`` (high where something was blocked, default where more than ``many`` failed, else low) and ``exit_code``."""
+    return runs.withColumns({"priority": F.when(F.col(blocked) > 0, "high").when(F.col(failed) > many, "default").otherwise("low"), "exit_code": (F.col(blocked) > 0).cast("int")})
+
+
 def even_slots(groups: DataFrame, *, n: str, order: Sequence[str], least: int = 12, most: int = 3) -> DataFrame:
     """Groups of more than ``least`` items, at most ``most`` of them, evenly spread over the order."""
     eligible = groups.where(F.col(n) > least)

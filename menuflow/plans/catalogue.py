@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menuflow.functions import dates, text
-from menuflow.operators import geometry, match, merge, views
+from menuflow.operators import extract, geometry, match, merge, views
 from menuflow.plans.registry import Registry
 from menuflow.sources.tables import table
 
@@ -26,8 +26,7 @@ def distinguishing_labels(spark: SparkSession, d: str) -> DataFrame:
     return match.distinguishing(rows, group=["brand", "name"], labels=["p_type", "p_size", "p_retailprice"])
 
 
-@R.add("""WITH p AS (SELECT p_brand AS brand, p_partkey AS k, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS n FROM part),
-    x AS (SELECT a.brand, a.k, b.k AS near, abs(b.v - a.v) AS distance FROM p a JOIN p b ON a.brand = b.brand AND b.n BETWEEN a.n - 6 AND a.n + 6 AND a.n <> b.n),
+@R.add("""WITH p AS (SELECT p_brand AS brand, p_partkey AS k, p_retailprice AS v FROM part), x AS (SELECT a.brand, a.k, b.k AS near, abs(b.v - a.v) AS distance FROM p a JOIN p b ON a.brand = b.brand AND a.k <> b.k),
     r AS (SELECT *, row_number() OVER (PARTITION BY brand, k ORDER BY distance, near) AS rank FROM x) SELECT brand, k AS partkey, near, round(distance, 4) AS distance, rank FROM r WHERE rank <= 6""")
 def related_items(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("partkey"), "p_retailprice")
@@ -44,13 +43,6 @@ def _dated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return items, news
 
 
-@R.add(_LATEST)
-def latest_in_window(spark: SparkSession, d: str) -> DataFrame:
-    items, news = _dated(spark, d)
-    found = match.latest_in_window(items, news, on=["k"], reference="ref", date="date", before=120, after=14, keys=[], tie=["id"])
-    return found.withColumns({c: F.col(c).cast("string") for c in ("ref", "date")})
-
-
 @R.add(_LATEST)
 def latest_in_window_binned(spark: SparkSession, d: str) -> DataFrame:
     items, news = _dated(spark, d)
@@ -105,19 +97,10 @@ def latest_linked(spark: SparkSession, d: str) -> DataFrame:
     return merge.top_by(linked.join(at, "entry_id"), scope=["ref_id"], order=[F.desc("entered_at"), "entry_id"], limit=4).select("ref_id", "entry_id", "rank")
 
 
-@R.add(r"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&yen;', '¥'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ') AS plain
-    FROM documents WHERE text IS NOT NULL""")
-def html_text(spark: SparkSession, d: str) -> DataFrame:
-    c = F.regexp_replace(text.strip_comments(F.col("text")), r"<[^>]*>", "")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&yen;", "¥"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(sign))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " ")).alias("plain"))
-
-
 @R.add(r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+') AS l FROM documents) SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS link FROM x WHERE len(l) > 0""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    links = F.regexp_extract_all(F.col("text"), F.lit(r"https?://[A-Za-z0-9./_-]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(links).alias("pos", "link"))
+    links = extract.Field("links", r"(https?://[A-Za-z0-9./_-]+)", "list")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(links.column(F.col("text"))).alias("pos", "link"))
 
 
 @R.add(r"""SELECT record_id, lower(regexp_extract(official_url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 1)) AS scheme, regexp_replace(lower(regexp_extract(official_url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 2)), '^(www|m)\.', '') AS host,
@@ -160,8 +143,8 @@ def yearless_date(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""SELECT chain, record_id, row_number() OVER (PARTITION BY chain ORDER BY first_seen_at DESC, name DESC, record_id) AS pos FROM products WHERE status = 'on_sale'""")
 def chain_groups(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("chain").orderBy(F.desc("first_seen_at"), F.desc("name"), "record_id")
-    return table(spark, d, "products").where("status = 'on_sale'").select("chain", "record_id", F.row_number().over(w).alias("pos"))
+    p = table(spark, d, "products").where("status = 'on_sale'").withColumn("_month", -(F.year("first_seen_at") * 12 + F.month("first_seen_at")))
+    return views.places(p, scope=["chain"], group="_month", order=[F.desc("first_seen_at"), F.desc("name"), "record_id"]).select("chain", "record_id", "pos")
 
 
 @R.add("SELECT strftime(first_seen_at, '%Y-%m') AS month, count(*) AS n FROM products WHERE status = 'ended' AND first_seen_at IS NOT NULL GROUP BY 1")
@@ -317,6 +300,6 @@ def key_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("record_id", F.nullif(F.regexp_extract(c, r"_(\d{2})\d{4}", 1), F.lit("")).alias("yy"), dates.key_date(F.regexp_extract(c, r"(_\d{6})", 1)).cast("string").alias("dated"), text.base_key(c).alias("base"))
 
 
-@R.add("""SELECT chain, category, count(*) AS n, round(avg(price), 4) AS mean_price, median(price) AS median_price FROM products WHERE price IS NOT NULL GROUP BY ALL""")
+@R.add("""SELECT chain, category, count(*) AS n, round(avg(price), 4) AS mean_price, quantile_disc(price, 0.5) AS median_price FROM products WHERE price IS NOT NULL GROUP BY ALL""")
 def category_prices(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "products").where("price is not null").groupBy("chain", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("mean_price"), F.median("price").alias("median_price"))
+    return table(spark, d, "products").where("price is not null").groupBy("chain", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("mean_price"), F.percentile_approx("price", 0.5, 10_000).alias("median_price"))

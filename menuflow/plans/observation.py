@@ -141,14 +141,8 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     g AS (SELECT *, sum((NOT held)::int) OVER (PARTITION BY chain ORDER BY run_date) AS grp FROM h)
     SELECT chain, run_date::varchar AS run_date, total, fresh, held, (CASE WHEN held THEN sum(held::int) OVER (PARTITION BY chain, grp ORDER BY run_date) ELSE 0 END)::int AS hold_days FROM g""")
 def hold_runs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    counts = _counts(spark, d)
-    limit = lifecycle.burst_limit(F.col("total"), 4, 0.08)
-    judged = counts.withColumn("held", (F.col("fresh") > limit) & (F.row_number().over(Window.partitionBy("chain").orderBy("run_date")) > 1))
-    grouped = judged.withColumn("_g", F.sum((~F.col("held")).cast("int")).over(Window.partitionBy("chain").orderBy("run_date")))
-    days = F.when(F.col("held"), F.sum(F.col("held").cast("int")).over(Window.partitionBy("chain", "_g").orderBy("run_date"))).otherwise(0)
-    return grouped.select("chain", F.col("run_date").cast("string").alias("run_date"), "total", "fresh", "held", days.cast("int").alias("hold_days"))
+    found = lifecycle.holds(_counts(spark, d), keys=["chain"], date="run_date", total="total", unknown="fresh", floor=4, share=0.08)
+    return found.select("chain", F.col("run_date").cast("string").alias("run_date"), "total", "fresh", "held", "hold_days")
 
 
 @R.add(_HOLD + """, j AS (SELECT *, lag(total) OVER (PARTITION BY chain ORDER BY run_date) AS previous FROM c) SELECT chain, run_date::varchar AS run_date, total, previous, coalesce(total >= previous * 0.95, true) AS ok FROM j""")

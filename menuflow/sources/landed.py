@@ -22,14 +22,26 @@ CHALLENGE = ("incapsula", "imperva", "_incap_", "request unsuccessful", "just a
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages as JSON lines; malformed lines are dropped."""
-    return spark.read.schema(RAW_PAGES).option("mode", "DROPMALFORMED").json(path)
+    """Landed pages as JSON lines; a line that can't be read has nulls and stands whole in ``corrupt`` (see :func:`corrupt_lines`)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{RAW_PAGES}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("_j")).select("_j.*")
+
+
+def corrupt_lines(pages: DataFrame) -> DataFrame:
+    """(line, reason): the lines of :func:`raw_pages` that couldn't be read, for the dead letters."""
+    return pages.where("corrupt is not null").select(F.col("corrupt").alias("line"), F.lit("unreadable").alias("reason"))
 
 
 def binary_pages(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(url, body, fetched_at): whole files, decoded as UTF-8 with replacement."""
+    """(url, content, kind, body, fetched_at): whole files. ``kind`` is ``pdf`` or ``text``, by the first bytes; only texts have a ``body``, decoded as UTF-8 with replacement."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("fetched_at"))
+    pdf = is_pdf(F.col("content"))
+    return files.select(F.col("path").alias("url"), "content", F.when(pdf, "pdf").otherwise("text").alias("kind"), F.when(~pdf, F.decode("content", "UTF-8")).alias("body"), F.col("modificationTime").alias("fetched_at"))
+
+
+def is_pdf(content: Column) -> Column:
+    """Whether bytes are a PDF's: anything else that was fetched as one is a page of a bot guard."""
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
 
 
 def product_store(spark: SparkSession, path: str) -> DataFrame:

@@ -80,3 +80,31 @@ def test_dates(spark):
     assert one(spark, dates.ja_date(ref)) == "2026年1月10日"
     assert one(spark, dates.period_text(ref, ref, F.lit(True))) == "2026年1月10日〜2026年1月10日(終了)"
     assert one(spark, dates.effective_date(F.lit(None).cast("date"), F.lit(None).cast("date"), F.lit("2026-01-10 05:00:00").cast("timestamp"))) == dt.date(2026, 1, 10)
+
+
+def test_numbers_in_six_digits(spark):
+    from menuflow.functions import text
+
+    values = [1234567.0, 12345.678, 0.00001, 0.0001, 100.0, 0.0, -2.5, 999999.5, None, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(text.format_number(F.col("v"))).collect()] == ["1.23457e+06", "12345.7", "1e-05", "0.0001", "100", "0", "-2.5", "1e+06", None, "inf", "nan"]
+
+
+def test_repeated_and_null_labels(spark):
+    from menuflow.functions import text
+
+    df = spark.createDataFrame([(["a", None, "b", "a"], [1, 2, 3, 4]), ([], []), (None, None)], "k array<string>, v array<int>")
+    assert [r[0] for r in df.select(text.label_map(F.col("k"), F.col("v"), {"b": "a"})).collect()] == [{"a": 4}, {}, None]
+
+
+def test_entities_paths_and_descriptions(spark):
+    from menuflow.functions import text
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.unescape(F.lit("a&#12354;&#x3042;&#X41;&amp;#65;&#0;&#9999999;"))) == "aああA&#65;&#0;&#9999999;"
+    for path, plain in (("/a/../b/./c//d/..", "/b/c/"), ("x/y", "x/y"), ("/", "/"), ("/../..", "/"), ("", "")):
+        assert one(text.resolve_path(F.lit(path))) == plain
+    told = one(text.short_description(F.lit("【新】 ※注\n【他】x\n" + "あ" * 120 + "。次"), limit=10))
+    assert told["full_length"] == 121 and told["text"] == "あ" * 9 + "…"
+    for a, b, n in (("abcd", "abxd", 2), ("abc", "abc", 3), ("", "a", 0), ("x", "y", 0), ("ab", "abc", 2)):
+        assert one(text.common_prefix(F.lit(a), F.lit(b))) == n

@@ -9,7 +9,9 @@ from menuflow.sources import landed, sinks
 def test_pages_states_and_robots(spark, tmp_path, rows):
     lines = [{"chain": "a", "run_date": "2026-01-01", "run_seq": 1, "url": f"u{i}", "http_status": s, "body": b} for i, (s, b) in enumerate([(200, "<p>ok"), (403, ""), (404, "x"), (200, "Just a moment..."), (500, "x"), (200, None)])]
     (tmp_path / "p.json").write_text("\n".join(map(json.dumps, lines)) + "\n{broken\n")
-    pages = landed.raw_pages(spark, str(tmp_path / "p.json"))
+    every = landed.raw_pages(spark, str(tmp_path / "p.json"))
+    assert rows(landed.corrupt_lines(every)) == [("{broken", "unreadable")]
+    pages = every.where("corrupt is null")
     assert rows(pages.select("url", landed.page_state(F.col("http_status"), F.col("body")))) == [("u0", "ok"), ("u1", "blocked"), ("u2", "not_found"), ("u3", "blocked"), ("u4", "error"), ("u5", "error")]
     assert landed.binary_pages(spark, str(tmp_path), "*.json").count() == 1
     robots = "User-agent: Bot\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/open # x\n"
@@ -45,3 +47,10 @@ def test_news_reads_only_its_years(spark, tmp_path, rows):
     assert "PartitionFilters: [isnotnull(year" in found._jdf.queryExecution().toString()
     got = spark.createDataFrame([('{"a":1}',), ("{",), (None,)], "t string").select(landed.json_or(F.col("t"), "a int", F.struct(F.lit(9).alias("a")))["a"].alias("a"))
     assert sorted((r["a"] for r in got.collect()), key=lambda x: x or 0) in ([1, 9, None], [None, 1, 9], [1, 9, 9])
+
+
+def test_binaries_are_told_by_their_first_bytes(spark, tmp_path, rows):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7\n\xff\xfe")
+    (tmp_path / "b.pdf").write_bytes("<html>待って".encode())
+    found = landed.binary_pages(spark, str(tmp_path), "*.pdf").select(F.regexp_extract("url", "([abc])[.]pdf$", 1), "kind", "body")
+    assert rows(found) == [("a", "pdf", None), ("b", "text", "<html>待って")]
