@@ -94,7 +94,63 @@ _HISTORY = f"""u AS (SELECT DISTINCT ON (chain, pid, observed_at) chain, {plain_
     c AS (SELECT *, lag(price) OVER w AS p0, lag(status) OVER w AS s0 FROM k WINDOW w AS (PARTITION BY chain, pid ORDER BY observed_at)),
     v AS (SELECT *, lead(observed_at) OVER (PARTITION BY chain, pid ORDER BY observed_at) AS until FROM c WHERE price IS DISTINCT FROM p0 OR status IS DISTINCT FROM s0)"""
 
+
+def _embedded(x: str) -> str:
+    return rf"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x}->>'$', '^\s*[\[{{]') AND json_valid({x}->>'$') THEN ({x}->>'$')::json ELSE {x} END"
+
+
+def _list(x: str) -> str:
+    """The elements of an array, or a lone value as the only one."""
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _name(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'VARCHAR' THEN {x}->>'$' WHEN 'NULL' THEN '' WHEN 'OBJECT' THEN '' WHEN 'ARRAY' THEN '' ELSE coalesce({x}::varchar, '') END"
+
+
+def _member(x: str, label: str) -> str:
+    """The name of an element: its member ``label``, or itself where it isn't an object."""
+    inner = f"json_extract({x}, '$.{label}')"
+    return f"CASE WHEN json_type({x}) = 'OBJECT' THEN coalesce({_name(inner)}, '') ELSE {_name(x)} END"
+
+
+_FETCHES = f"""f AS (SELECT record_id, body, row_number() OVER (PARTITION BY record_id ORDER BY fetched_at DESC NULLS LAST, body DESC NULLS LAST) AS n FROM raw_records WHERE record_id IS NOT NULL),
+    j AS (SELECT record_id, body::json AS j FROM f WHERE n = 1 AND json_valid(body)), p AS (SELECT record_id, CASE WHEN json_type(j, '$.product') = 'OBJECT' THEN j->'product' ELSE j END AS p FROM j),
+    a AS (SELECT record_id, {_embedded("(p->'nutrition_variants')")} AS v, {_embedded("(p->'allergens')")} AS al, {_embedded("(p->'price_history')")} AS h FROM p),
+    v AS (SELECT record_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT record_id, {_list("v")} AS l FROM a)),
+    c AS (SELECT record_id, 'contains' AS child, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT record_id, {_list("(al->'contains')")} AS l FROM a)
+          UNION ALL SELECT record_id, 'partial', unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT record_id, {_list("(al->'partial')")} AS l FROM a)
+          UNION ALL SELECT record_id, 'price', unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT record_id, {_list("h")} AS l FROM a)),
+    o AS (SELECT record_id, pos, unnest(json_keys((e->'nutrition')->'other')) AS k FROM v WHERE json_type((e->'nutrition')->'other') = 'OBJECT'),
+    z AS (SELECT record_id, pos, unnest(l) AS e FROM (SELECT record_id, pos, {_list("(e->'sizes')")} AS l FROM v WHERE json_type(e) = 'OBJECT'))"""
+_CHILDREN = f"""SELECT record_id, 'variant' AS child, pos::int AS pos, {_member("e", "label")} AS name FROM v WHERE json_type(e) <> 'NULL'
+    UNION SELECT record_id, 'variant_other', pos::int, k FROM o UNION SELECT record_id, 'variant_size', pos::int, {_member("e", "label")} FROM z WHERE json_type(e) <> 'NULL'
+    UNION SELECT record_id, child, pos::int, CASE child WHEN 'price' THEN {_member("e", "date")} WHEN 'partial' THEN {_member("e", "name")} ELSE {_name("e")} END FROM c WHERE json_type(e) <> 'NULL'"""
+
+
+def _folded(c: str) -> str:
+    """Widths, squared signs and case folded, blanks removed, in SQL."""
+    for odd, usual in (units.VOICED | units.SQUARED).items():
+        c = f"replace({c}, '{odd}', '{usual}')"
+    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F)).replace("'", "''")
+    narrow = "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''")
+    return rf"lower(regexp_replace(translate(translate({c}, '{wide}', '{narrow}'), '{units.HALF_KANA}', '{units.FULL_KANA}'), '[\s\p{{Z}}]+', '', 'g'))"
+
+
+_NUMBER, _WORD = units.NUMBER, units.WORD
+_NUTRIENT = " ".join(f"WHEN name IN ({', '.join(repr(x) for x in names)}) THEN '{key}'" for key, names in units.NUTRIENTS.items())
+_FACTOR = " ".join(f"WHEN unit IN ({', '.join(repr(x) for x in units.NAMED[u])}) AND {'nutrient = ' if d == 'energy' else 'nutrient <> '}'kcal' THEN {f!r}" for d, us in units.KNOWN.items() for u, f in us.items())
+_LINES = rf"""x AS (SELECT line_id, amount, {_folded("nutrient_label")} AS label, {_folded("amount_text")} AS text, nullif({_folded("unit")}, '') AS unit FROM nutrition_lines WHERE line_id IS NOT NULL),
+    y AS (SELECT *, regexp_extract(label, '^([^(\[/:]+)', 1) AS name, nullif(regexp_extract(label, '[(\[/]({_WORD})[)\]]?$', 1), '') AS behind, coalesce(text, '') = '' AS silent,
+          regexp_replace(regexp_replace(regexp_replace(text, '[(\[/*※].*$', ''), '^[^0-9<>≦≧≤≥〜~]*[:=]', ''), '^(?:約|およそ|推定|ほぼ|ca\.?|approx\.?)+|(?:前後|程度|くらい|ぐらい|ほど|弱|強)+$', '', 'g') AS main FROM x),
+    z AS (SELECT line_id, CASE {_NUTRIENT} END AS nutrient, CASE WHEN silent THEN amount ELSE try_cast(nullif(replace(regexp_extract(main, '^({_NUMBER})({_WORD})?$', 1), ',', ''), '') AS double) END AS value,
+          coalesce(CASE WHEN NOT silent THEN nullif(regexp_extract(main, '^({_NUMBER})({_WORD})?$', 2), '') END, unit, behind) AS unit FROM y),
+    w AS (SELECT DISTINCT line_id, nutrient, value * CASE WHEN nutrient = 'sodium' THEN {units.SALT_PER_SODIUM} ELSE 1 END * CASE {_FACTOR} END AS exact FROM z WHERE nutrient IS NOT NULL AND value >= 0)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"WITH {_FETCHES} {_CHILDREN}",
+    "p6_found": f"WITH {_LINES} SELECT DISTINCT line_id, CASE nutrient WHEN 'sodium' THEN 'salt_g' ELSE nutrient END AS nutrient, floor(round(exact, 6) + 0.5)::bigint AS amount FROM w WHERE exact IS NOT NULL",
     "p1_found": f"WITH {_SNAPSHOTS} SELECT chain, product_id, run_date, change FROM diff",
     "p1_changed_fields": f"WITH {_SNAPSHOTS} SELECT chain, change, fields, count(*) AS n, min(run_date) AS first_date, max(run_date) AS last_date FROM diff GROUP BY ALL",
     "p2_found": f"WITH {_HISTORY} SELECT chain, pid AS product_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), '') AS valid_to, price::bigint AS price, status FROM v",
