@@ -107,14 +107,13 @@ QUERIES: dict[str, Query] = {
 }
 _DAY = r"regexp_replace(regexp_replace(trim(launch_date), '^(\d{4})(\d{2})(\d{2})$', '\1-\2-\3'), '^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?$', '\1-\2-\3')"
 
-ORACLE_SQL: dict[str, str] = {
-    "p4_found": rf"""
-        WITH m AS (SELECT DISTINCT group_id, record_id FROM duplicate_members),
+_URL = r"""regexp_matches(trim(official_url), '^https?://[^/?#\s]+/[^?#\s]*[^/?#\s]', 'i')"""
+_MEMBERS = rf"""m AS (SELECT DISTINCT group_id, record_id FROM duplicate_members),
         p AS (SELECT m.group_id, p.*, coalesce(t.trust, -1) AS trust, coalesce(last_seen_at, date '0001-01-01') AS seen,
                      len(list_filter(coalesce(price_history, []), lambda e: e.date IS NOT NULL AND e.price > 0)) AS good,
                      try_cast(CASE WHEN regexp_full_match({_DAY}, '\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN {_DAY} END AS date) AS day
-              FROM m JOIN products p USING (record_id) LEFT JOIN source_trust t ON t.source = p.source),
-        r AS (
+              FROM m JOIN products p USING (record_id) LEFT JOIN source_trust t ON t.source = p.source)"""
+_RANKED = rf"""r AS (
             SELECT group_id, 'first_seen_at' AS field, record_id, row_number() OVER (PARTITION BY group_id ORDER BY first_seen_at, record_id) AS n
             FROM p WHERE first_seen_at >= timestamp '2015-01-01' AND (last_seen_at IS NULL OR first_seen_at::date <= last_seen_at)
             UNION ALL
@@ -123,6 +122,19 @@ ORACLE_SQL: dict[str, str] = {
             SELECT group_id, 'official_url', record_id, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, seen DESC, record_id)
             FROM p WHERE regexp_matches(trim(official_url), '^https?://[^/?#\s]+/[^?#\s]*[^/?#\s]', 'i')
             UNION ALL
-            SELECT group_id, 'price_history', record_id, row_number() OVER (PARTITION BY group_id ORDER BY good DESC, trust DESC, seen DESC, record_id) FROM p WHERE good > 0)
-        SELECT group_id, field, record_id FROM r WHERE n = 1""",
+            SELECT group_id, 'price_history', record_id, row_number() OVER (PARTITION BY group_id ORDER BY good DESC, trust DESC, seen DESC, record_id) FROM p WHERE good > 0)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": f"WITH {_MEMBERS}, {_RANKED} SELECT group_id, field, record_id FROM r WHERE n = 1",
+    # every pair of an identity and an address is tried, with none for either: as many as possible, then their trusts, then their ranks
+    "p4_consistent": f"""WITH {_MEMBERS}, {_RANKED},
+        beside AS (SELECT DISTINCT group_id, product_id, official_url FROM p WHERE product_id IS NOT NULL AND official_url IS NOT NULL),
+        i AS (SELECT group_id, record_id, product_id, trust, seen FROM p WHERE product_id IS NOT NULL AND name IS NOT NULL UNION ALL SELECT DISTINCT group_id, NULL, NULL, NULL, NULL FROM p),
+        u AS (SELECT group_id, record_id, official_url, trust, seen FROM p WHERE {_URL} UNION ALL SELECT DISTINCT group_id, NULL, NULL, NULL, NULL FROM p),
+        x AS (SELECT i.group_id, i.record_id AS a, u.record_id AS b, row_number() OVER (PARTITION BY i.group_id ORDER BY (i.record_id IS NOT NULL)::int + (u.record_id IS NOT NULL)::int DESC, greatest(coalesce(i.trust, 0), 0) + greatest(coalesce(u.trust, 0), 0) DESC,
+                     i.trust DESC NULLS LAST, i.seen DESC NULLS LAST, i.record_id NULLS LAST, u.trust DESC NULLS LAST, u.seen DESC NULLS LAST, u.record_id NULLS LAST) AS n
+              FROM i JOIN u USING (group_id)
+              WHERE i.record_id IS NULL OR u.record_id IS NULL OR EXISTS (SELECT 1 FROM beside s WHERE s.group_id = i.group_id AND s.product_id = i.product_id AND s.official_url = u.official_url)
+                    OR NOT EXISTS (SELECT 1 FROM beside s WHERE s.group_id = i.group_id AND s.product_id = i.product_id))
+        SELECT group_id, field, record_id FROM r WHERE n = 1 AND field <> 'official_url' UNION ALL SELECT group_id, 'identity', a FROM x WHERE n = 1 AND a IS NOT NULL UNION ALL SELECT group_id, 'official_url', b FROM x WHERE n = 1 AND b IS NOT NULL""",
 }

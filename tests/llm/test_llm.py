@@ -391,3 +391,18 @@ def test_queries_run(spark, name):
         pytest.skip("no test tables")
     df = llm.QUERIES[name](spark, folder)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
+def test_queries_equal_sql(spark, rows, name):
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("products", "duplicate_members", "source_trust"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    assert rows(llm.QUERIES[name](spark, folder)) == sorted(con.execute(llm.ORACLE_SQL[name]).fetchall(), key=lambda t: tuple((x is None, str(x)) for x in t))
