@@ -46,3 +46,44 @@ def mark_matrix(marks: DataFrame, columns: DataFrame, *, row: Sequence[str], x:
     ids = marks.withColumn("_id", F.xxhash64(*row, x, "mark"))
     near = nearest(ids.withColumn("_k", F.lit(0)), columns.withColumn("_k", F.lit(0)), keys=["_k"], point="_id", value=x, target="name", at="x", most=most)
     return ids.join(near.select("_id", "name"), "_id").groupBy(*row).pivot("name", list(names)).agg(F.first("mark"))
+
+
+def scaled(points: DataFrame, pages: DataFrame, *, page: Sequence[str], columns: Sequence[str], height: str, standard: float) -> DataFrame:
+    """Points with their positions as on a page of the ``standard`` height, so that distances and edges hold for pages of any size. Points of pages
+    without a height are left out."""
+    known = pages.where(F.col(height) > 0).select(*page, (F.lit(float(standard)) / F.col(height)).alias("_f"))
+    told = points.join(known, [*page])
+    return told.select(*(c for c in points.columns if c not in columns), *((F.col(c) * F.col("_f")).alias(c) for c in columns))
+
+
+def unglued(marks: DataFrame, *, mark: str, x: str, width: float) -> DataFrame:
+    """One row for each sign of marks that stand in one piece, each ``width`` to the right of the one before it; blanks aren't marks."""
+    keep = [c for c in marks.columns if c not in (mark, x)]
+    signs = marks.select(*keep, F.col(x).alias("_x"), F.posexplode(F.split(mark, "")).alias("_i", mark)).where(F.trim(mark) != "")
+    return signs.select(*keep, mark, (F.col("_x") + F.col("_i") * F.lit(float(width))).alias(x))
+
+
+def band_names(glyphs: DataFrame, bands: DataFrame, *, keys: Sequence[str], y: str, x: str, text: str, low: str, high: str, width: float) -> DataFrame:
+    """(keys, band, name, lines): the texts within each band of rule lines, joined from top (greatest y) to bottom and left to right: a name cell that spans several rows. A cell
+    holds few texts, so no group grows with the data."""
+    inside = assign_bands(glyphs, bands, keys=keys, value=y, low=low, high=high, width=width)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(y)).alias("y"), F.col(x).alias("x"), F.col(text).alias("t"))))
+    by = inside.groupBy(*keys, "band").agg(ordered.alias("_g"), F.count_distinct(y).alias("lines"))
+    return by.select(*keys, "band", F.array_join(F.transform("_g", lambda g: g["t"]), "").alias("name"), "lines")
+
+
+def header_problems(headers: DataFrame, *, keys: Sequence[str], page: str, column: str, text: str) -> DataFrame:
+    """(keys, page, column, text, usual): headers that differ from what most pages say of the column (ties: the smallest text); pages are expected to agree."""
+    votes = headers.groupBy(*keys, column, text).agg(F.count(F.lit(1)).alias("_n"))
+    usual = votes.groupBy(*keys, column).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(text).alias("t"))).alias("_u")).select(*keys, column, F.col("_u.t").alias("usual"))
+    return headers.join(usual, [*keys, column]).where(~F.col(text).eqNullSafe(F.col("usual"))).select(*keys, page, column, text, "usual")
+
+
+def legend_lines(lines: DataFrame, *, keys: Sequence[str], y: str, text: str, start: str, gap: float) -> DataFrame:
+    """(keys, y, text): the lines that begin as ``start`` (a pattern) with the continuation lines right below them, each at most ``gap`` lower, up to the next such line."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(y))
+    marked = lines.withColumns({"_s": F.col(text).rlike(start), "_gap": F.lag(y).over(w) - F.col(y)})
+    # a line far below the one before it begins a block of its own
+    block = marked.withColumn("_b", F.sum((F.col("_s") | F.coalesce(F.col("_gap") > gap, F.lit(True))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = block.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct((-F.col(y)).alias("o"), F.col(text).alias("t")))).alias("_l"), F.max(y).alias(y), F.max("_s").alias("_is"))
+    return joined.where("_is").select(*keys, y, F.array_join(F.transform("_l", lambda g: g["t"]), "").alias(text))

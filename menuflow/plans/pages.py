@@ -365,3 +365,41 @@ def category_links(spark: SparkSession, d: str) -> DataFrame:
     return page.select("chain", F.explode(F.array_distinct(links.column(F.col("body")))).alias("category"))
 
 
+
+
+@R.add("""SELECT p_partkey AS k, round(p_retailprice * (100.0 / (p_size + 50)), 6) AS x FROM part""")
+def scaled_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of pages of different heights, on one scale."""
+    p = table(spark, d, "part")
+    pages = p.select(F.col("p_size").alias("page")).distinct().withColumn("h", F.col("page") + 50)
+    points = p.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("page"), F.col("p_retailprice").alias("x"))
+    return geometry.scaled(points, pages, page=["page"], columns=["x"], height="h", standard=100.0).select("k", F.round("x", 6).alias("x"))
+
+
+@R.add("""WITH g AS (SELECT p_partkey AS k, p_retailprice AS x, unnest(string_split(p_name, '')) AS mark, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part) SELECT k, mark, round(x + i * 2.5, 6) AS x FROM g WHERE mark <> ' '""")
+def unglued_marks(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("mark"), F.col("p_retailprice").alias("x"))
+    return geometry.unglued(p, mark="mark", x="x", width=2.5).withColumn("x", F.round("x", 6))
+
+
+@R.add("""WITH b AS (SELECT p_brand AS brand, floor(p_retailprice / 20)::int AS band, p_retailprice AS y, p_partkey AS x, p_type AS t FROM part) SELECT brand, band, string_agg(t, '' ORDER BY y DESC, x) AS name, count(DISTINCT y) AS lines FROM b WHERE band < 60 GROUP BY ALL""")
+def band_names(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of table cells that span several rows, joined in reading order."""
+    glyphs = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("y"), F.col("p_partkey").alias("x"), F.col("p_type").alias("t"))
+    bands = glyphs.select("brand").distinct().withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumns({"low": F.col("band") * 20.0, "high": (F.col("band") + 1) * 20.0})
+    return geometry.band_names(glyphs, bands, keys=["brand"], y="y", x="x", text="t", low="low", high="high", width=20.0)
+
+
+@R.add("""WITH h AS (SELECT p_brand AS brand, p_partkey AS page, p_size % 5 AS col, p_type AS t FROM part), v AS (SELECT brand, col, t, count(*) AS n FROM h GROUP BY ALL), u AS (SELECT brand, col, arg_min(t, (-n, t)) AS usual FROM v GROUP BY ALL) SELECT h.brand, page, col, t, usual FROM h JOIN u USING (brand, col) WHERE t <> usual""")
+def header_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Column headers that differ from what most pages say."""
+    h = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("page"), (F.col("p_size") % 5).alias("col"), F.col("p_type").alias("t"))
+    return geometry.header_problems(h, keys=["brand"], page="page", column="col", text="t")
+
+
+@R.add("""WITH l AS (SELECT p_brand AS brand, p_retailprice * 100 + p_partkey / 1000000.0 AS y, p_type AS t FROM part), m AS (SELECT *, t = 'PROMO' AS s, lag(y) OVER (PARTITION BY brand ORDER BY y DESC) - y AS gap FROM l),
+    b AS (SELECT *, sum((s OR coalesce(gap > 200, true))::int) OVER (PARTITION BY brand ORDER BY y DESC) AS b FROM m) SELECT brand, round(max(y), 4) AS y, string_agg(t, '' ORDER BY y DESC) AS t FROM b GROUP BY brand, b HAVING bool_or(s)""")
+def legend_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Legend lines with their continuation lines."""
+    lines = table(spark, d, "part").select(F.col("p_brand").alias("brand"), (F.col("p_retailprice") * 100 + F.col("p_partkey") / 1_000_000.0).alias("y"), F.col("p_type").alias("t"))
+    return geometry.legend_lines(lines, keys=["brand"], y="y", text="t", start="^PROMO$", gap=200.0).select("brand", F.round("y", 4).alias("y"), "t")
