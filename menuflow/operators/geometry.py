@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def clusters(points: DataFrame, *, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
-    """(keys, cluster, low, high, centre, n): neighbours closer than ``tolerance`` form one cluster, counted from 0."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    marked = points.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_new", F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(False)).cast("int"))
+    """(keys, cluster, low, high, centre, n): neighbours at most ``tolerance`` apart form one cluster, counted from 0 by position. Null values are left out.
+
+    Points are first summed up in bins as wide as ``tolerance``, in the map tasks: points of one bin belong together, and points with an empty bin between them
+    don't. Only the bins of a key are sorted, not its points.
+    """
+    bins = points.where(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(value) / tolerance).alias("_bin")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    marked = bins.withColumn("_new", F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > tolerance, F.lit(False)).cast("int"))
     numbered = marked.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, F.col("cluster").cast("int").alias("cluster")).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("centre"), F.count(F.lit(1)).alias("n"))
+    by = numbered.groupBy(*keys, F.col("cluster").cast("int").alias("cluster")).agg(F.min("_lo").alias("low"), F.max("_hi").alias("high"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("n"))
+    return by.select(*keys, "cluster", "low", "high", (F.col("_sum") / F.col("n")).alias("centre"), "n")
 
 
 def band_of(value: Column, edges: Sequence[float]) -> Column:

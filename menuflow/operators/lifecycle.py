@@ -58,11 +58,22 @@ def state(found: DataFrame, *, scope: Sequence[str] = ("chain",), key: str = "pr
     return by.select(*scope, key, F.when(F.col("_l.ended").isNull(), "on_sale").otherwise("ended").alias("status"), "_l.missed", "first_seen", "_l.last_seen", "_l.ended", "relaunches")
 
 
-def changes(rows: DataFrame, *, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def changes(rows: DataFrame, *, keys: Sequence[str], at: str, value: str, period: Column | None = None) -> DataFrame:
     """(keys, at, old, new): observations whose value differs from the last known one. Null values say nothing; the first
-    capture has a null ``old``. One row per (keys, at) is expected."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    known = rows.where(F.col(value).isNotNull()).withColumn("_old", F.lag(value).over(w))
+    capture has a null ``old``. One row per (keys, at) is expected.
+
+    With ``period``, which has to grow with ``at``, rows are compared within (key, period), so a key with a long history is spread over its
+    periods; what was known before a period comes from one row for each of the earlier ones.
+    """
+    told = rows.where(F.col(value).isNotNull())
+    if period is None:
+        known = told.withColumn("_old", F.lag(value).over(Window.partitionBy(*keys).orderBy(at)))
+    else:
+        told = told.select(F.struct(*keys).alias("_key"), F.coalesce(period, F.lit(0)).alias("_period"), F.col(at), F.col(value)).repartition("_key", "_period")
+        last = told.groupBy("_key", "_period").agg(F.max_by(value, at).alias("_last"))
+        before = last.select("_key", "_period", F.lag("_last").over(Window.partitionBy("_key").orderBy("_period")).alias("_before"))
+        own = told.withColumn("_own", F.lag(value).over(Window.partitionBy("_key", "_period").orderBy(at)))
+        known = own.join(before, ["_key", "_period"]).select(*(F.col(f"_key.{k}") for k in keys), at, value, F.coalesce("_own", "_before").alias("_old"))
     return known.where(F.col("_old").isNull() | (F.col("_old") != F.col(value))).select(*keys, at, F.col("_old").alias("old"), F.col(value).alias("new"))
 
 

@@ -71,13 +71,13 @@ def siblings(items: DataFrame, *, group: Sequence[str], key: str) -> DataFrame:
     return by.where("n > 1")
 
 
-def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, bins: int = 16) -> DataFrame:
+def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k: int, per_bin: int = 50_000, bins: int = 256) -> DataFrame:
     """(scope, key, near, distance, rank): for each item its ``k`` nearest of the scope by ``value``, ties by key.
 
     Equal values share their list. Of each distinct value the k + 1 smallest keys are kept (one may be the item itself), so the k nearest
     of a value stand among those of the value and of the k distinct values before and after it, however many items are
-    equal: two windows over the distinct values give all candidates, and no other pair is formed. A scope is cut into
-    ``bins`` at approximate quantiles, so that a hot one isn't sorted in one task; each bin borrows the k values before and after it,
+    equal: two windows over the distinct values give all candidates, and no other pair is formed. A scope is cut at approximate quantiles into
+    bins of about ``per_bin`` distinct values (at most ``bins``), so that a hot one isn't sorted in one task; each bin borrows the k values before and after it,
     which are at most 2 x bins x k rows a scope. Where a value is null the distance is null and comes last: such items fill
     up lists that are short of others, and their own is the smallest keys. Items with a null key are left out.
     """
@@ -89,14 +89,15 @@ def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k:
 
     tops = smallest(told, *scope, "_v")
     values = tops.where(F.col("_v").isNotNull())
-    cuts = values.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 1000).alias("_q"))
-    binned = values.join(cuts, [*scope]).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_v")))).select(*scope, "_bin", "_v", "_ks")
+    cuts = values.groupBy(*scope).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)] or [0.5], 1000).alias("_q"), F.least(F.lit(bins), F.ceil(F.count(F.lit(1)) / per_bin)).cast("int").alias("_nb"))
+    place = F.floor(F.size(F.filter("_q", lambda q: q < F.col("_v"))) * F.col("_nb") / bins).cast("int")
+    binned = values.join(cuts, [*scope]).withColumn("_bin", F.least(place, F.col("_nb") - 1)).select(*scope, "_bin", "_nb", "_v", "_ks")
 
     def edge(ascending: bool) -> DataFrame:
         order = F.asc("_v") if ascending else F.desc("_v")
         first = binned.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(order))).where(F.col("_r") <= k).drop("_r")
-        others = F.sequence(F.lit(0), F.col("_bin") - 1) if ascending else F.sequence(F.col("_bin") + 1, F.lit(bins - 1))
-        has = (F.col("_bin") > 0) if ascending else (F.col("_bin") < bins - 1)
+        others = F.sequence(F.lit(0), F.col("_bin") - 1) if ascending else F.sequence(F.col("_bin") + 1, F.col("_nb") - 1)
+        has = (F.col("_bin") > 0) if ascending else (F.col("_bin") < F.col("_nb") - 1)
         lent = first.where(has).withColumn("_bin", F.explode(others))
         return lent.withColumn("_r", F.row_number().over(Window.partitionBy(*scope, "_bin").orderBy(order))).where(F.col("_r") <= k).drop("_r")
 

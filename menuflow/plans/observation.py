@@ -47,7 +47,7 @@ _DISCOUNTS = "daily AS (SELECT l_partkey, l_shipdate::date AS day, min(round(l_d
 @R.add(f"""WITH {_DISCOUNTS}, x AS (SELECT *, lag(pct) OVER (PARTITION BY l_partkey ORDER BY day) AS old FROM daily)
     SELECT p_brand AS brand, l_partkey AS partkey, day::varchar AS day, old AS old_pct, pct AS new_pct FROM x JOIN part ON p_partkey = l_partkey WHERE old IS NULL OR old <> pct""")
 def price_changes(spark: SparkSession, d: str) -> DataFrame:
-    found = lifecycle.changes(discounts(spark, d), keys=["l_partkey"], at="day", value="pct")
+    found = lifecycle.changes(discounts(spark, d), keys=["l_partkey"], at="day", value="pct", period=F.year("day"))
     parts = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("l_partkey"))
     return found.join(parts, "l_partkey").select(F.col("p_brand").alias("brand"), F.col("l_partkey").alias("partkey"), F.col("day").cast("string").alias("day"), F.col("old").alias("old_pct"), F.col("new").alias("new_pct"))
 

@@ -81,3 +81,18 @@ def test_changes_streaks_holds_and_guards(spark, rows):
     ]
     g = spark.createDataFrame([("a", DAYS[i], n) for i, n in enumerate([10, 5, 2])], "k string, d date, n int")
     assert [x["ok"] for x in ratio_guard(g, keys=["k"], date="d", n="n").orderBy("d").collect()] == [True, True, False]
+
+
+def test_changes_by_period_equal_changes(spark, rows):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from menuflow.operators import lifecycle
+
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", None]), n, rnd.choice([None, 1, 2, 3])) for n in range(300)]
+    df = spark.createDataFrame(data, "k string, at int, v int")
+    whole = rows(lifecycle.changes(df, keys=["k"], at="at", value="v"))
+    for width in (1, 10, 1000):
+        assert rows(lifecycle.changes(df, keys=["k"], at="at", value="v", period=F.floor(F.col("at") / width))) == whole

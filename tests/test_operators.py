@@ -134,8 +134,8 @@ def test_nearest_neighbours_do_not_depend_on_bins(spark, rows):
             near = sorted((abs(x - v), y) for x, y in r if y != k)[:3]
             expected += [(s, k, y, d, n) for n, (d, y) in enumerate(near, 1)]
     df = spark.createDataFrame(data, "s string, k int, v double")
-    for bins in (1, 7):
-        assert sorted(rows(match.nearest(df, scope=["s"], value="v", key="k", k=3, bins=bins))) == sorted(expected)
+    for per_bin in (1000, 4):
+        assert sorted(rows(match.nearest(df, scope=["s"], value="v", key="k", k=3, per_bin=per_bin, bins=7))) == sorted(expected)
 
 
 def test_nearest_of_many_equal_values(spark, rows):
