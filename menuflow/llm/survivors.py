@@ -9,7 +9,10 @@ first, and cuts a branch when even the best of the open bundles can't beat what
 Pruning before the search: of candidates of one bundle that agree in every field named in a
 dependency only the best can survive. A grouped maximum - reduced in the map tasks - leaves one row per
 (group, bundle, agreeing values), so a bundle outside all dependencies sends one row per group into the
-search, however large the group is: a group of a third of all rows costs what any other costs.
+search, however large the group is: a group of a third of all rows costs what any other costs. Where two bundles depend on
+each other only, the bound is exact before the search (:func:`prune_pair`): for each left value the best right one that may stand beside it is found by
+joins and grouped maxima, and all candidates but those of the best pair and the best of each bundle are cut. So the search of
+such a group has at most four candidates too.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from menuflow.session import cut_lineage
+
 LOWEST = -(2**62)
 
 
@@ -84,6 +89,58 @@ def candidates(records: DataFrame, members: DataFrame, bundles: Sequence[Bundle]
     )
 
 
+def prune_pair(kept: DataFrame, left: Bundle, right: Bundle, number: int, *, left_first: bool, group: str = "group_id") -> DataFrame:
+    """The candidates without those of ``left`` and ``right`` that can't survive under dependency ``number``, the only one that either of them is in.
+
+    With the candidates of the best allowed pair, and of the best of each bundle alone, every best choice is still there; of the pairs of values, those that
+    decide between them. Nothing is gathered per group.
+    """
+    agree = F.col("agree")
+    of = lambda name, value: kept.where(F.col("bundle") == name).select(group, agree[0].alias(value), "rank", "key")
+    a, b = of(left.name, "x"), of(right.name, "y")
+    pairs = kept.where((F.col("bundle") == "") & (F.col("rank")[0] == number)).select(group, agree[0].alias("x"), agree[1].alias("y"))
+    best = F.max(F.struct("rank", "key", "y"))
+    allowed = pairs.join(b.where("y is not null"), [group, "y"]).groupBy(group, "x").agg(best.alias("_beside"))
+    told = pairs.groupBy(group, "x").agg(F.max("y").alias("_told"))
+    alone = b.groupBy(group).agg(best.alias("_any"), F.max(F.when(F.col("y").isNull(), F.struct("rank", "key", "y"))).alias("_free"))
+    met = a.join(told, [group, "x"], "left").join(allowed, [group, "x"], "left").join(alone, group, "left")
+    beside = F.when(F.col("_told").isNull(), F.col("_any")).otherwise(F.array_max(F.filter(F.array("_beside", "_free"), lambda r: r.isNotNull())))
+    met = met.withColumn("_r", beside)
+    worth = lambda w, rank: w * F.greatest(F.lit(0).cast("bigint"), rank[0])
+    lowest = F.array(F.lit(LOWEST - 1))
+    ranks = [F.col("rank"), F.coalesce(F.col("_r")["rank"], lowest)]
+    value = F.struct(
+        F.col("_r").isNotNull().alias("filled"),
+        (worth(left.weight, F.col("rank")) + F.coalesce(worth(right.weight, F.col("_r")["rank"]), F.lit(0))).alias("worth"),
+        *(r.alias(f"rank{i}") for i, r in enumerate(ranks if left_first else ranks[::-1])),
+        F.struct("rank", "key", "x").alias("a"),
+        F.col("_r").alias("b"),
+        F.col("_told").alias("told"),
+    )
+    chosen = met.groupBy(group).agg(F.max(value).alias("_p"), F.max(F.struct(F.struct("rank", "key", "x").alias("a"), F.col("_told").alias("told"))).alias("_a"))
+
+    def row(bundle: str, c: Column, value: str) -> Column:
+        return F.struct(F.lit(bundle).alias("bundle"), c["rank"].alias("rank"), c["key"].alias("key"), F.array(c[value]).alias("agree"))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(F.lit("").alias("bundle"), F.array(F.lit(number).cast("bigint")).alias("rank"), F.lit(0).cast("bigint").alias("key"), F.array(x, y).alias("agree"))
+
+    p, alone_a = F.col("_p"), F.col("_a")
+    beside_told = p["told"].isNotNull() & p["b"]["y"].isNotNull()
+    rows = F.array(
+        row(left.name, p["a"], "x"),
+        row(left.name, alone_a["a"], "x"),
+        F.when(p["b"].isNotNull(), row(right.name, p["b"], "y")),
+        F.when(p["told"].isNotNull(), pair(p["a"]["x"], p["told"])),
+        F.when(beside_told, pair(p["a"]["x"], p["b"]["y"])),
+        F.when(alone_a["told"].isNotNull(), pair(alone_a["a"]["x"], alone_a["told"])),
+    )
+    of_left = chosen.select(group, F.inline(F.array_distinct(F.filter(rows, lambda r: r.isNotNull()))))
+    of_right = alone.select(group, row(right.name, F.col("_any"), "y").alias("_row")).select(group, "_row.*")
+    others = kept.where(~F.col("bundle").isin(left.name, right.name) & ~((F.col("bundle") == "") & (F.col("rank")[0] == number)))
+    return others.unionByName(of_left).unionByName(of_right).distinct()
+
+
 def search(found: Sequence[tuple[str, list[int], int, list[str]]], bundles: Sequence[tuple[str, int, Sequence[str]]], dependencies: Sequence[Dependency] = ()) -> dict[str, int]:
     """Branch and bound over one group's candidates (bundle, rank, key, agreeing values): the chosen key of each filled bundle.
 
@@ -138,12 +195,18 @@ def choose_bundles(records: DataFrame, members: DataFrame, bundles: Sequence[Bun
     """(group, bundle, key): which record each surviving bundle of a group comes from; no row where none is usable.
 
     Nulls in a rank are lowest; ties go to the smaller key. Groups without a record, and empty tables, give no rows.
-    The search of a group is one row of its remaining candidates; bundles in dependencies bring as many as
-    they have different values there.
+    The search of a group is one row of its remaining candidates: one of a bundle outside dependencies, two of one in a single dependency
+    with another that is in no other; bundles in several dependencies bring as many as they have different values there.
     """
     named = [f for d in dependencies for f in (d.left, d.right)]
     plan = [(b.name, b.weight, [f for f in b.fields if (b.name, f) in named]) for b in bundles]
     kept = candidates(records, members, bundles, dependencies, group=group, key=key)
+    by_name = {b.name: (i, b) for i, b in enumerate(bundles)}
+    uses = [side for d in dependencies for side in (d.left[0], d.right[0])]
+    for i, d in enumerate(dependencies):
+        (at, a), (bt, b) = by_name[d.left[0]], by_name[d.right[0]]
+        if uses.count(a.name) == uses.count(b.name) == 1 and min(a.weight, b.weight) >= 0:
+            kept = prune_pair(cut_lineage(kept), a, b, i, left_first=at < bt, group=group)
     rows = kept.groupBy(group).agg(F.collect_list(F.struct("bundle", "rank", "key", "agree")).alias("c"))
     kind = members.schema[group].dataType.simpleString()
 

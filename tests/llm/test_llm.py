@@ -264,6 +264,33 @@ def test_survivors(spark, rows):
     assert (7, "official_url", 3) in rows(joined)
 
 
+@pytest.mark.parametrize("order", ["ab", "ba"])
+def test_pruned_pairs_equal_the_whole_search(spark, order):
+    rnd = random.Random(11)
+    records = [(k, rnd.choice([None, "p", "q", "r", "s"]), rnd.choice([None, "t", "u", "v"]), rnd.choice([None, *range(5)]), rnd.choice([None, *range(5)]), rnd.random() < 0.8, rnd.random() < 0.8) for k in range(900)]
+    df = spark.createDataFrame(records, "record_id bigint, x string, y string, ra bigint, rb bigint, ua boolean, ub boolean")
+    members = spark.createDataFrame([(k // 5, k) for k in range(900)], "group_id bigint, record_id bigint")
+    a = S.Bundle("a", S.F.col("ua"), [S.F.col("ra")], ("x",), 1)
+    b = S.Bundle("b", S.F.col("ub"), [S.F.col("rb")], ("y",), 1)
+    bundles = [a, b] if order == "ab" else [b, a]
+    depends = [S.Dependency(("a", "x"), ("b", "y"))]
+    found = {(r["group_id"], r["bundle"]): r["record_id"] for r in S.choose_bundles(df, members, bundles, depends).collect()}
+    plan = [(x.name, x.weight, list(x.fields)) for x in bundles]
+    whole = {}
+    for r in S.candidates(df, members, bundles, depends).groupBy("group_id").agg(S.F.collect_list(S.F.struct("bundle", "rank", "key", "agree")).alias("c")).collect():
+        options = [(c["bundle"], c["rank"], c["key"], c["agree"]) for c in r["c"]]
+        whole |= {(r["group_id"], name): k for name, k in S.search(options, plan, depends).items()}
+    assert found == whole
+
+
+def test_a_group_of_many_values_under_a_dependency(spark):
+    df = spark.range(20_000).selectExpr("id as record_id", "concat('x', id) as x", "concat('y', id % 7000) as y", "id % 13 as r")
+    members = spark.range(20_000).selectExpr("cast(1 as bigint) as group_id", "id as record_id")
+    a, b = (S.Bundle(n, S.F.lit(True), [S.F.col("r")], (f,), 1) for n, f in (("a", "x"), ("b", "y")))
+    found = {r["bundle"]: r["record_id"] for r in S.choose_bundles(df, members, [a, b], [S.Dependency(("a", "x"), ("b", "y"))]).collect()}
+    assert found["a"] % 13 == 12 and found["b"] % 13 == 12 and found["a"] % 7000 == found["b"] % 7000
+
+
 # --- names
 
 
