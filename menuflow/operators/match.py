@@ -119,6 +119,26 @@ def nearest(items: DataFrame, *, scope: Sequence[str], value: str, key: str, k:
     return met.select(*scope, F.col("_k").alias(key), F.posexplode(ranked).alias("_p", "_x")).select(*scope, key, "_x.near", "_x.distance", (F.col("_p") + 1).alias("rank"))
 
 
+def related(items: DataFrame, *, scope: Sequence[str], group: str, value: str, key: str, k: int) -> DataFrame:
+    """(scope, key, near, rank): the ``k`` items of the scope to show beside each: those of its own group first, then by distance of ``value`` (null last) and key.
+
+    Of the group the k nearest are enough; if it has fewer, the 2k nearest of the scope hold k of other groups, so the union of both lists is exact. Items without a group have
+    nothing in common with each other.
+    """
+    told = items.where(F.col(group).isNotNull())
+    own = nearest(told, scope=[*scope, group], value=value, key=key, k=k).select(*scope, key, "near", "distance", F.lit(0).alias("_far"))
+    groups = items.select(*scope, F.col(key).alias("_k"), F.col(group).alias("_g")).distinct()
+    wide = nearest(items, scope=scope, value=value, key=key, k=2 * k).select(*scope, key, "near", "distance")
+    other = (
+        wide.join(groups.withColumnsRenamed({"_k": key, "_g": "_a"}), [*scope, key])
+        .join(groups.withColumnsRenamed({"_k": "near", "_g": "_b"}), [*scope, "near"])
+        .where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)))
+        .select(*scope, key, "near", "distance", F.lit(1).alias("_far"))
+    )
+    order = Window.partitionBy(*scope, key).orderBy("_far", F.asc_nulls_last("distance"), "near")
+    return own.unionByName(other).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*scope, key, "near", "rank")
+
+
 def distinguishing(rows: DataFrame, *, group: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """(group, n, label): the first of ``labels`` that is told for every row of the group and differs for all; null if none."""
     n = F.count(F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from menuflow.functions import dates, text
 from menuflow.operators import extract, geometry, match, merge, views
 from menuflow.plans.registry import Registry
+from menuflow.sources import landed
 from menuflow.sources.tables import table
 
 R = Registry()
@@ -33,6 +34,14 @@ def related_items(spark: SparkSession, d: str) -> DataFrame:
     return match.nearest(rows, scope=["brand"], value="p_retailprice", key="partkey", k=6).withColumn("distance", F.round("distance", 4))
 
 
+@R.add("""WITH p AS (SELECT p_brand AS brand, p_partkey AS k, p_type AS g, p_retailprice AS v FROM part), x AS (SELECT a.brand, a.k, b.k AS near, row_number() OVER (PARTITION BY a.brand, a.k ORDER BY a.g <> b.g, abs(b.v - a.v), b.k) AS rank FROM p a JOIN p b ON a.brand = b.brand AND a.k <> b.k)
+    SELECT brand, k AS partkey, near, rank FROM x WHERE rank <= 6""")
+def related_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Related items: those of the same type first, then the nearest."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("partkey"), "p_type", "p_retailprice")
+    return match.related(rows, scope=["brand"], group="p_type", value="p_retailprice", key="partkey", k=6)
+
+
 _LATEST = """WITH i AS (SELECT DISTINCT l_suppkey % 1000 AS k, l_shipdate::date AS ref FROM lineitem), n AS (SELECT o_custkey % 1000 AS k, o_orderdate::date AS date, o_orderkey AS id FROM orders)
     SELECT i.k, ref::varchar AS ref, max(date)::varchar AS date, arg_max(id, (date, id)) AS id FROM i JOIN n ON i.k = n.k AND n.date BETWEEN ref - 120 AND ref + 14 GROUP BY ALL"""
 
@@ -115,6 +124,13 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add("SELECT event_id, (props->>'k')::bigint AS k, -1::bigint AS missing FROM events")
+def json_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Values of JSON texts, and the default where they can't be read."""
+    read = lambda c, schema: landed.json_or(c, schema, F.struct(F.lit(-1).cast("bigint").alias("k")))["k"]
+    return table(spark, d, "events").select("event_id", read(F.col("props"), "k bigint").alias("k"), read(F.lit(None).cast("string"), "k bigint").alias("missing"))
+
+
 @R.add(r"""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '^(?:【[^】]*】\s*)+', ''), chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '' AND NOT starts_with(l, '※') AND NOT regexp_matches(l, '^【[^】]*】'))[1] AS t FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, CASE WHEN instr(t, '。') > 0 THEN substr(t, 1, instr(t, '。')) ELSE t END AS s FROM x) SELECT doc_id, CASE WHEN length(s) > 100 THEN rtrim(substr(s, 1, 99), ' ') || '…' ELSE s END AS sentence FROM s""")
 def first_sentence(spark: SparkSession, d: str) -> DataFrame:
