@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW = 12
 #: A piece is hot if it stands at more than one in HOT places of a batch; its places are then spread over SALTS tasks.
 HOT, SALTS = 50, 16
+#: How many places travel in one row at most, and how many ids are held before they are handed on.
+PLACES, HELD_IDS = 256, 1 << 20
 LETTER, NUMBER, OTHER, BLANK, UNSURE, APOSTROPHE = range(6)
 
 
@@ -132,17 +135,14 @@ def _cut(documents: DataFrame, doc: str, text: str, mean: int, most_signs: int =
             signs = places = 0
 
             def out() -> pa.RecordBatch:
-                salts = [(task + number) % SALTS if len(x[0]) > 8 and len(x[0]) * HOT > places else 0 for x in held.values()]
-                keys = [hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in held]
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys, pa.binary()),
-                        pa.array(salts, pa.int32()),
-                        pa.array(list(held), pa.string()),
-                        *(pa.array([x[i] for x in held.values()], pa.list_(t)) for i, t in enumerate((doc_type, pa.int64(), pa.int32()))),
-                    ],
-                    ["key", "salt", "piece", "docs", "versions", "places"],
-                )
+                rows = []
+                for p, at in held.items():
+                    key = hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    hot = len(at[0]) > 8 and len(at[0]) * HOT > places
+                    for i in range(0, len(at[0]), PLACES):
+                        rows.append((key, (task + number + i // PLACES) % SALTS if hot else 0, p, *(x[i : i + PLACES] for x in at)))
+                kinds = (pa.binary(), pa.int32(), pa.string(), pa.list_(doc_type), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "salt", "piece", "docs", "versions", "places"])
 
             for d, v, t in zip(batch["d"].to_pylist(), batch["v"].to_pylist(), batch["t"].to_pylist()):
                 for i, p in enumerate(pieces(t, mean) if t else ("",)):
@@ -178,27 +178,30 @@ def encoded_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder, tokenizer).encode_ordinary
-        last, ids, n = None, None, 0
+        kind = np.int16 if narrow else np.int32
+        last, ids = None, np.empty(0, kind)
         for batch in batches:
-            lengths, values, sizes = [], [], []
-            for key, piece, docs in zip(batch["key"].to_pylist(), batch["piece"].to_pylist(), batch["docs"]):
+            times = pc.list_value_length(batch["docs"]).to_pylist()
+            start, values, held = 0, [], 0
+            for i, (key, piece, n) in enumerate(zip(batch["key"].to_pylist(), batch["piece"].to_pylist(), times), 1):
                 if key != last:
-                    last, found = key, np.array(encode(piece), np.int64)
-                    ids, n = (found - 32768).astype(np.int16) if narrow else found.astype(np.int32), len(found)
-                times = len(docs)
-                sizes += [n] * times
-                if not counts:
-                    values += [ids] * times
-                lengths.append(times)
-            told = [pa.ListArray.flatten(batch[c]) for c in ("docs", "versions", "places")]
-            if counts:
-                told.append(pa.array(sizes, pa.int32()))
-            else:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
-                flat = np.concatenate(values) if values else np.empty(0, np.int16 if narrow else np.int32)
-                told.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
-            if sizes:
+                    last, ids = key, np.array(encode(piece), np.int64)
+                    ids = (ids - 32768).astype(kind) if narrow else ids.astype(kind)
+                values.append(ids)
+                held += len(ids) * n
+                if held < HELD_IDS and i < len(times):
+                    continue
+                rows, repeats = batch.slice(start, i - start), times[start:i]
+                told = [rows[c].flatten() for c in ("docs", "versions", "places")]
+                sizes = np.repeat([len(v) for v in values], repeats)
+                if counts:
+                    told.append(pa.array(sizes.astype(np.int32)))
+                else:
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    flat = np.concatenate([v if n == 1 else np.tile(v, n) for v, n in zip(values, repeats)])
+                    told.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(told, ["doc", "version", "pos", value.split()[0]])
+                start, values, held = i, [], 0
 
     cut = _cut(documents, doc, text, mean).repartition("key", "salt").sortWithinPartitions("key")
     return cut.select("key", "piece", "docs", "versions", "places").mapInArrow(run, f"doc {kind}, version bigint, pos int, {value}")

@@ -117,6 +117,18 @@ def test_corpus_is_encoded_exactly(spark, texts):
     assert encode.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_a_piece_in_every_document(spark):
+    e = encode.encoder(FOLDER, "byte_bpe_50k")
+    rnd = random.Random(3)
+    shared = "".join(rnd.choice(["一部の店舗", "では、", "price ", "is 970 ", "ご了承ください。", "tax. "]) for _ in range(200))
+    df = spark.range(3000).selectExpr("id as doc_id", f"concat(id, ' x. ', '{shared}', id) as text").coalesce(1)
+    salts = encode._cut(df, "doc_id", "text", 128).selectExpr("salt", "size(docs) as n").groupBy().agg({"salt": "max", "n": "max"}).first().asDict()
+    assert salts["max(salt)"] > 0 and salts["max(n)"] <= encode.PLACES
+    for r in encode.encode_corpus(df).where("doc_id < 50").collect():
+        assert list(r["ids"]) == e.encode_ordinary(f"{r['doc_id']} x. {shared}{r['doc_id']}")
+    assert encode.token_counts(df).count() == 3000
+
+
 # --- packing
 
 
