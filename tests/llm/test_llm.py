@@ -411,6 +411,15 @@ def test_prefixes_lose_no_pair_above_the_threshold(spark):
     assert close > len(rows)
 
 
+def test_names_with_clashing_columns_and_of_any_length(spark):
+    ref = spark.createDataFrame([(*r[:3], "x", 1) for r in reference()], "ref_id bigint, chain string, canonical_name string, name string, entry_id int")
+    entries = [(1, "a", "あ" * 20_000, "k", 2), (2, "a", "", "k", 2), (3, None, None, "k", 2), (4, "a", next(r[2] for r in reference() if r[1] == "a"), "k", 2)]
+    df = spark.createDataFrame(entries, "entry_id bigint, chain string, name string, _key string, score int")
+    found = {r["entry_id"]: r["ref_id"] for r in name_mapping.map_names(df, ref).collect()}
+    assert found == {1: -1, 2: -1, 3: -1, 4: next(r[0] for r in reference() if r[1] == "a")}
+    assert name_mapping.map_names(df.limit(0), ref).count() == 0
+
+
 def test_one_name_in_most_entries(spark):
     ref = spark.createDataFrame([r[:3] for r in reference()], "ref_id bigint, chain string, canonical_name string")
     hot = spark.range(5000).selectExpr("id as entry_id", "cast(null as string) as chain", f"'{reference()[0][2]}' as name")
