@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from menuflow.operators.attribute_history import as_of, build_history, versions
+from menuflow.operators.attribute_history import as_of, build_history, versions, write_store
 
 SCHEMA = "update_id bigint, chain string, product_id string, observed_at timestamp_ntz, received_at timestamp_ntz, price int, status string, at string"
 T0 = dt.datetime(2026, 1, 1)
@@ -54,3 +54,11 @@ def test_odd_input(spark, rows):
     found = versions(build_history(spark.createDataFrame(d, SCHEMA)))
     assert rows(found) == [("a", "p", T0 + dt.timedelta(hours=1), None, None, "on"), (None, "p", T0, None, 7, None)]
     assert versions(build_history(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_a_written_store_gives_the_same_versions(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(data(random.Random(5), 200), SCHEMA).withColumns({"_period": F.lit(1), "_key": F.lit("x")})
+    store = build_history(df, period_seconds=86400)
+    assert rows(versions(write_store(store, str(tmp_path / "store")))) == rows(versions(store))
