@@ -158,6 +158,35 @@ def quote_keys(title: Column, split: str | None = None, drop_brackets: bool = Fa
     return F.array_distinct(F.filter(found, lambda q: F.length(q) >= 2))
 
 
+def _named(items: DataFrame, scope: Sequence[str], key: str, name: Column, reference: str) -> DataFrame:
+    return items.select(*scope, key, name.alias("_name"), F.col(reference).alias("_ref"))
+
+
+def _keyed(named: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, _name, _ref, _k): each name and reference of a scope once, however many items have them."""
+    from menuflow.functions.text import match_key
+
+    return named.select(*scope, "_name", "_ref").distinct().withColumn("_k", match_key(F.col("_name")))
+
+
+def _holding(names: DataFrame, texts: DataFrame, scope: Sequence[str], least: int) -> DataFrame:
+    """The rows of ``texts`` with each distinct name ``_k`` of at least ``least`` signs that their text ``_t`` contains, blocked by the name's first signs. Runs travel
+    with a hash of their text, which is held against the whole name afterwards.
+
+    The joins are never broadcast by the size of files: a well packed table is small there and large in memory."""
+    heads = names.where(F.length("_k") >= least).select(*scope, "_k").distinct().withColumn("_run", F.substring("_k", 1, least))
+    marked = texts.withColumn("_h", F.xxhash64("_t"))
+    parts = marked.select(*scope, "_h", F.explode(runs(F.col("_t"), least)).alias("_run"))
+    met = parts.join(heads.hint("merge"), [*scope, "_run"]).select(*scope, "_h", "_k").distinct()
+    return marked.join(met.hint("merge"), [*scope, "_h"]).where(F.contains("_t", "_k")).drop("_h")
+
+
+def _of_items(named: DataFrame, near: DataFrame, scope: Sequence[str], key: str, *columns: str) -> DataFrame:
+    """(scope, key, columns): what was found for the name and reference of each item; the greatest of several."""
+    met = named.join(near.select(*scope, "_name", "_ref", *columns).hint("merge"), [*scope, "_name", "_ref"])
+    return met.groupBy(*scope, key).agg(F.max(F.struct(*columns)).alias("_b")).select(*scope, key, *(f"_b.{c}" for c in columns))
+
+
 def launches(
     items: DataFrame,
     news: DataFrame,
@@ -184,36 +213,41 @@ def launches(
     key (an equi-join of exploded quotes) or, without any quotes, if it contains a name of at least ``least`` signs (blocked by
     the name's first signs). With ``strict`` only quotes count that a launch word follows within so many signs. ``launch`` is the day the headline tells, near the
     announcement's; with ``need_day`` announcements without one don't count, so an earlier one that tells it stands. Ties go to the greatest title.
+    Distinct names meet days with the greatest announcement of each, and items get what their name and reference met: no pairs of items and announcements.
     """
     from menuflow.functions.dates import headline_date
     from menuflow.functions.text import launch_quotes, match_key
 
-    found = launch_quotes(F.col(title), words, strict) if strict is not None else quote_keys(F.col(title), split, drop_brackets)
-    told = news.where(F.col(title).rlike(words) & ~F.col(title).rlike(no_words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title"), found.alias("_q"), headline_date(F.col(title), F.col(date)).alias("launch"))
+    told = news.where(F.col(title).rlike(words) & ~F.col(title).rlike(no_words)).select(*scope, F.col(date).alias("date"), F.col(title).alias("title")).distinct()
+    found = launch_quotes(F.col("title"), words, strict) if strict is not None else quote_keys(F.col("title"), split, drop_brackets)
+    told = told.withColumns({"_q": found, "launch": headline_date(F.col("title"), F.col("date"))})
     if need_day:
         told = told.where("launch is not null")
-    named = items.select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.col("_k") != "")
-    columns = [*scope, key, "_ref", "date", "title", "launch"]
-    hit = told.select(*scope, "date", "title", "launch", F.explode("_q").alias("_quote")).withColumn("_k", match_key(F.col("_quote"))).join(named, [*scope, "_k"]).select(*columns)
+    named = _named(items, scope, key, name, reference)
+    names = _keyed(named, scope).where(F.col("_k") != "")
+    columns = [*scope, "_k", "date", "title", "launch"]
+    hit = told.withColumn("_k", F.explode("_q")).withColumn("_k", match_key(F.col("_k"))).select(*columns)
     if strict is None:
         loose = told.where(F.size("_q") == 0).withColumn("_t", match_key(F.col("title")))
-        parts = loose.select(*scope, "date", "title", "launch", "_t", F.explode(runs(F.col("_t"), least)).alias("_run"))
-        heads = named.where(F.length("_k") >= least).withColumn("_run", F.substring("_k", 1, least))
-        hit = hit.unionByName(parts.join(heads, [*scope, "_run"]).where(F.contains("_t", "_k")).select(*columns))
-    near = hit.where(in_window(F.col("date"), F.col("_ref"), before, after))
-    return near.groupBy(*scope, key).agg(F.max(F.struct("date", "title", "launch")).alias("_b")).select(*scope, key, "_b.date", "_b.title", "_b.launch")
+        hit = hit.unionByName(_holding(names, loose, scope, least).select(*columns))
+    # of a name's announcements of a day the greatest stands for all
+    days = hit.groupBy(*scope, "_k", "date").agg(F.max(F.struct("title", "launch")).alias("_b")).select(*scope, "_k", "date", "_b.*")
+    near = latest_in_window_binned(names, days.hint("merge"), on=[*scope, "_k"], reference="_ref", date="date", before=before, after=after, keys=["_name"], tie=["title", "launch"])
+    return _of_items(named, near, scope, key, "date", "title", "launch")
 
 
 def body_launches(items: DataFrame, articles: DataFrame, found: DataFrame, *, scope: Sequence[str], key: str, name: Column, reference: str, body: str, date: str, before: int = 14, after: int = 7, words: str, least: int = 4) -> DataFrame:
     """(scope, key, date): for items that :func:`launches` didn't find, the latest article of a narrower window whose body has a launch word and
-    contains the item's name of at least ``least`` signs; an equi-join on the name's first signs. Bodies travel once, by key."""
+    contains the item's name of at least ``least`` signs. Distinct names meet distinct bodies by the name's first signs, names meet days and items
+    meet their name's result, so equal names and bodies are no pairs of rows."""
     from menuflow.functions.text import match_key
 
-    open_ = items.join(found.select(*scope, key).distinct(), [*scope, key], "left_anti").select(*scope, key, F.col(reference).alias("_ref"), match_key(name).alias("_k")).where(F.length("_k") >= least)
-    told = articles.where(F.col(body).rlike(words)).select(*scope, F.col(date).alias("date"), match_key(F.col(body)).alias("_t"))
-    parts = told.withColumn("_run", F.explode(runs(F.col("_t"), least)))
-    hit = parts.join(open_.withColumn("_run", F.substring("_k", 1, least)), [*scope, "_run"]).where(F.contains("_t", "_k") & in_window(F.col("date"), F.col("_ref"), before, after))
-    return hit.groupBy(*scope, key).agg(F.max("date").alias("date"))
+    open_ = _named(items.join(found.select(*scope, key).distinct(), [*scope, key], "left_anti"), scope, key, name, reference)
+    names = _keyed(open_, scope).where(F.length("_k") >= least)
+    told = articles.where(F.col(body).rlike(words)).select(*scope, F.col(date).alias("date"), F.col(body).alias("_t")).distinct().withColumn("_t", match_key(F.col("_t")))
+    days = _holding(names, told, scope, least).select(*scope, "_k", "date").distinct()
+    near = latest_in_window_binned(names, days.hint("merge"), on=[*scope, "_k"], reference="_ref", date="date", before=before, after=after, keys=["_name"], tie=[])
+    return _of_items(open_, near, scope, key, "date")
 
 
 def end_notices(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: str, name: Column, since: str, until: str, title: str, date: str, words: str = "終了") -> DataFrame:

@@ -149,3 +149,33 @@ def test_nearest_of_many_equal_values(spark, rows):
     for bins in (1, 7):
         found = rows(match.nearest(df, scope=["s"], value="v", key="k", k=3, bins=bins))
         assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_launches_form_no_pairs_of_equal_rows(spark, rows, tmp_path):
+    day = lambda n: dt.date(2026, 3, n)
+    many = [("c", i, "試作しょうが丼", day(1 + i % 3)) for i in range(300)] + [("c", 400, "試作ごま麺", day(20)), ("c", 400, "試作えび餃子", None), ("c", None, "試作ごま麺", day(20)), (None, 1, "試作ごま麺", day(20)), ("c", 401, None, day(20))]
+    told = [("c", day(9), "3月10日「試作しょうが丼」を発売")] * 300 + [("c", day(2), "「試作しょうが丼」新発売"), ("c", day(21), "新登場の試作ごま麺"), ("c", day(22), "新登場の試作ごま麺"), ("c", day(29), "新登場の試作ごま麺"), (None, day(21), "新登場の試作ごま麺")]
+    spark.createDataFrame(many, "chain string, id int, name string, ref date").write.parquet(f"{tmp_path}/items")
+    spark.createDataFrame(told, "chain string, date date, title string").write.parquet(f"{tmp_path}/news")
+    items, news = spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/news")
+    common = {"scope": ["chain"], "key": "id", "name": F.col("name"), "reference": "ref", "date": "date", "words": "発売|登場"}
+    found = match.launches(items, news, **common, title="title", no_words="終了", strict=3)
+    bodies = match.body_launches(items, news, found, **common, body="title")
+    for df in (found, bodies):  # rows of packed files aren't sent to the driver
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("c", i, day(9), "3月10日「試作しょうが丼」を発売", day(10)) for i in range(300)]
+    assert rows(bodies) == [("c", 400, day(22)), ("c", None, day(22))]
+    joined = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if "Join" in node.nodeName():
+            joined.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= 300
