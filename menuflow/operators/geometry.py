@@ -37,14 +37,25 @@ def assign_bands(points: DataFrame, bands: DataFrame, *, keys: Sequence[str], va
 
 
 def nearest(points: DataFrame, targets: DataFrame, *, keys: Sequence[str], point: str, value: str, target: str, at: str, most: float) -> DataFrame:
-    """(keys, point, target, distance): the target of the same keys nearest to each point, at most ``most`` away.
+    """(keys, point, target, distance): the target of the same keys nearest to each point, at most ``most`` away; ties by target.
 
-    Equi-join on bins as wide as ``most``: a point meets the targets of its own and both neighbouring bins only.
+    In bins as wide as ``most``, points stand in a row with the distinct positions of the targets of their own and both neighbouring bins: the nearest is the last position
+    before a point or the first one after it. Two sorts of a bin, no pairs of points and targets, however many of them are near each other.
     """
-    bins = F.explode(F.array(*(F.floor(F.col(value) / most) + i for i in (-1, 0, 1))))
-    t = targets.select(*keys, F.col(target).alias("_t"), F.col(at).alias("_at"), F.floor(F.col(at) / most).alias("_bin"))
-    hit = points.select(*keys, point, value, bins.alias("_bin")).join(t, [*keys, "_bin"]).withColumn("_d", F.abs(F.col(value) - F.col("_at"))).where(F.col("_d") <= most)
-    return hit.groupBy(*keys, point).agg(F.min(F.struct("_d", "_t")).alias("_b")).select(*keys, point, F.col("_b._t").alias(target), F.col("_b._d").alias("distance"))
+    bin_of = lambda c: F.floor(c / most)
+    for c in keys:
+        points, targets = (df.where(F.col(c).isNotNull()) for df in (points, targets))
+    spots = targets.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("_at")).agg(F.min(target).alias("_t"))
+    beside = F.explode(F.array(*(F.try_add(bin_of(F.col("_at")), F.lit(i)) for i in (-1, 0, 1))))
+    spots = spots.select(*keys, beside.alias("_bin"), F.col("_at").alias("_o"), F.struct("_at", "_t").alias("_s"), F.lit(0).alias("_is"))
+    told = points.select(*keys, bin_of(F.col(value)).alias("_bin"), F.col(value).alias("_o"), F.col(value).alias("_v"), F.col(point).alias("_p"), F.lit(1).alias("_is"))
+    line = told.unionByName(spots, allowMissingColumns=True)
+    # a target at the point's own position comes before it in both directions
+    before, after = (F.last("_s", ignorenulls=True).over(Window.partitionBy(*keys, "_bin").orderBy(o, "_is").rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("_o"), F.desc("_o")))
+    near = line.withColumns({"_l": before, "_r": after}).where("_is = 1").select(*keys, "_p", "_v", F.explode(F.array("_l", "_r")).alias("_s"))
+    hit = near.select(*keys, "_p", F.abs(F.col("_v") - F.col("_s._at")).alias("_d"), F.col("_s._t").alias("_t")).where(F.col("_d") <= most)
+    best = hit.groupBy(*keys, "_p").agg(F.min(F.struct("_d", F.col("_t").isNull().alias("_n"), "_t")).alias("_b"))
+    return best.select(*keys, F.col("_p").alias(point), F.col("_b._t").alias(target), F.col("_b._d").alias("distance"))
 
 
 def mark_matrix(marks: DataFrame, columns: DataFrame, *, row: Sequence[str], x: str, names: Sequence[str], most: float = 9.0) -> DataFrame:

@@ -179,3 +179,20 @@ def test_launches_form_no_pairs_of_equal_rows(spark, rows, tmp_path):
 
     walk(found._jdf.queryExecution().executedPlan())
     assert joined and max(joined) <= 300
+
+
+def test_nearest_targets_of_crowded_positions(spark, rows):
+    import random
+
+    rnd = random.Random(2)
+    points = [(rnd.choice("ab"), i % 350, rnd.choice((None, float("nan"), float("inf"), 0.0, -0.0, 1e300, *(rnd.randint(-90, 90) / 2 for _ in range(30))))) for i in range(400)] + [(None, 1, 1.0), ("c", 1, 1.0)]
+    targets = [(rnd.choice("ab"), i, rnd.choice((None, float("nan"), float("inf"), 1e300, *(rnd.randint(-40, 40) * 1.5 for _ in range(30))))) for i in range(300)] + [(None, 1, 1.0), ("a", None, 1.25)]
+    expected = {}
+    for s, p, v in points:
+        near = [(abs(v - x), t is None, t or 0) for k, t, x in targets if s is not None and k == s and v is not None and x is not None and abs(v - x) <= 7.0]
+        if near:
+            expected[s, p] = min(expected.get((s, p), min(near)), min(near))
+    p, t = spark.createDataFrame(points, "k string, p int, v double"), spark.createDataFrame(targets, "k string, t int, x double")
+    how = {"keys": ["k"], "point": "p", "value": "v", "target": "t", "at": "x", "most": 7.0}
+    assert rows(geometry.nearest(p, t, **how)) == sorted(((s, k, None if n else i, d) for (s, k), (d, n, i) in expected.items()), key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert "Join" not in geometry.nearest(p, t, **how)._jdf.queryExecution().executedPlan().toString()  # no pairs of points and targets
