@@ -260,26 +260,54 @@ def end_notices(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key:
     return hit.groupBy(*scope, key).agg(F.max(F.struct("date", "title")).alias("_b")).select(*scope, key, "_b.*")
 
 
-def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str], key: str, name: Column, launch: str, review: str, review_name: Column, date: str, least: int = 6, early: int = 14) -> DataFrame:
-    """(scope, key, review): reviews of an item: equal names, or the shorter (of at least ``least`` signs) within the longer; not if the item
-    was launched more than ``early`` days after the review. Both directions are equi-joins on first signs."""
+def _review_names(a: DataFrame, b: DataFrame, scope: Sequence[str], least: int) -> DataFrame:
+    """(scope, _x, _y): each name ``_x`` of items once with each name ``_y`` of reviews that is equal, or the shorter of both (of at least ``least`` signs) within
+    the longer. Both directions are equi-joins on first signs."""
     from menuflow.functions.text import review_key
 
-    a = items.select(*scope, key, F.col(launch).alias("_launch"), review_key(name).alias("_a")).where(F.col("_a") != "")
-    b = reviews.select(*scope, review, F.col(date).alias("_date"), review_key(review_name).alias("_b")).where(F.col("_b") != "")
-    columns = [*scope, key, review, "_launch", "_date"]
-
-    def parts(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("_run", F.explode(runs(F.col(c), least)))
+    names = a.select(*scope, "_x").distinct().withColumn("_a", review_key(F.col("_x"))).where(F.col("_a") != "")
+    told = b.select(*scope, "_y").distinct().withColumn("_b", review_key(F.col("_y"))).where(F.col("_b") != "")
+    keys = names.select(*scope, F.col("_a").alias("_k"), F.col("_a").alias("_t")).distinct()
+    others = told.select(*scope, F.col("_b").alias("_k"), F.col("_b").alias("_t")).distinct()
+    equal = keys.select(*scope, F.col("_k").alias("_a"), F.col("_k").alias("_b")).join(others.select(*scope, F.col("_k").alias("_b")).hint("merge"), [*scope, "_b"]).select(*scope, "_a", "_b")
+    inside = _holding(keys.select(*scope, "_k"), others.select(*scope, "_t"), scope, least).select(*scope, F.col("_k").alias("_a"), F.col("_t").alias("_b"))
+    around = _holding(others.select(*scope, "_k"), keys.select(*scope, "_t"), scope, least).select(*scope, F.col("_t").alias("_a"), F.col("_k").alias("_b"))
+    alike = equal.unionByName(inside).unionByName(around).distinct()
+    return alike.join(names.hint("merge"), [*scope, "_a"]).join(told.hint("merge"), [*scope, "_b"]).select(*scope, "_x", "_y")
 
-    def heads(df: DataFrame, c: str) -> DataFrame:
-        return df.where(F.length(c) >= least).withColumn("_run", F.substring(c, 1, least))
 
-    equal = a.join(b.withColumn("_a", F.col("_b")), [*scope, "_a"]).select(*columns)
-    inside = parts(b, "_b").join(heads(a, "_a"), [*scope, "_run"]).where(F.contains("_b", "_a")).select(*columns)
-    around = parts(a, "_a").join(heads(b, "_b"), [*scope, "_run"]).where(F.contains("_a", "_b")).select(*columns)
+def review_links(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str], key: str, name: Column, launch: str, review: str, review_name: Column, date: str, least: int = 6, early: int = 14) -> DataFrame:
+    """(scope, key, review): reviews of an item: equal names, or the shorter (of at least ``least`` signs) within the longer; not if the item
+    was launched more than ``early`` days after the review. Names meet once each, then all pairs are formed, as the result says."""
+    a = items.select(*scope, key, F.col(launch).alias("_launch"), name.alias("_x"))
+    b = reviews.select(*scope, review, F.col(date).alias("_date"), review_name.alias("_y"))
     late = F.datediff("_launch", "_date") > early
-    return equal.unionByName(inside).unionByName(around).where(~F.coalesce(late, F.lit(False))).select(*scope, key, review).distinct()
+    told = b.join(_review_names(a, b, scope, least).hint("merge"), [*scope, "_y"])
+    return a.join(told.hint("merge"), [*scope, "_x"]).where(~F.coalesce(late, F.lit(False))).select(*scope, key, review).distinct()
+
+
+def review_counts(items: DataFrame, reviews: DataFrame, *, scope: Sequence[str], key: str, name: Column, launch: str, review: str, review_name: Column, date: str, least: int = 6, early: int = 14) -> DataFrame:
+    """(scope, key, reviews, first, last): the number, least and greatest of each item's :func:`review_links`, without forming them.
+
+    Reviews are counted by item name and day, the counts of a name summed up from its latest day back, and an item takes the sum at the first day that counts for it. Only items
+    with several names form their pairs, since a review may link to more than one of them."""
+    day = lambda c: F.unix_date(F.to_date(F.col(c)))
+    # without a launch or a date nothing is too early
+    a = items.select(*scope, key, F.coalesce(day(launch) - early, F.lit(-(1 << 31))).alias("_from"), name.alias("_x")).where(F.col("_x").isNotNull())
+    b = reviews.select(*scope, F.col(review).alias("_review"), F.coalesce(day(date), F.lit((1 << 31) - 1)).alias("_day"), review_name.alias("_y"))
+    told = b.join(_review_names(a, b, scope, least).hint("merge"), [*scope, "_y"]).groupBy(*scope, "_x", "_review").agg(F.max("_day").alias("_day"))
+    days = told.groupBy(*scope, "_x", F.col("_day").alias("_from")).agg(F.count(F.lit(1)).alias("reviews"), F.min("_review").alias("first"), F.max("_review").alias("last"), F.lit(0).alias("_is"))
+    named = a.groupBy(*scope, key, "_x").agg(F.min("_from").alias("_from")).withColumn("_names", F.count(F.lit(1)).over(Window.partitionBy(*scope, key)))
+    single, several = named.where("_names = 1"), named.where("_names > 1")
+    starts = single.select(*scope, "_x", "_from").distinct().withColumn("_is", F.lit(1))
+    back = Window.partitionBy(*scope, "_x").orderBy(F.desc("_from"), "_is").rowsBetween(Window.unboundedPreceding, 0)
+    line = days.unionByName(starts, allowMissingColumns=True)
+    sums = line.select(*scope, "_x", "_from", "_is", *(f(c).over(back).alias(c) for f, c in ((F.sum, "reviews"), (F.min, "first"), (F.max, "last")))).where("_is = 1 and reviews > 0").drop("_is")
+    counted = single.join(sums.hint("merge"), [*scope, "_x", "_from"])
+    pairs = several.join(told.hint("merge"), [*scope, "_x"]).where(F.col("_day") >= F.col("_from")).select(*scope, key, "_review").distinct()
+    paired = pairs.groupBy(*scope, key).agg(F.count(F.lit(1)).alias("reviews"), F.min("_review").alias("first"), F.max("_review").alias("last"))
+    columns = [*scope, key, "reviews", "first", "last"]
+    return counted.select(*columns).unionByName(paired.select(*columns))
 
 
 def unmatched(items: DataFrame, found: DataFrame, *, keys: Sequence[str]) -> DataFrame:

@@ -111,14 +111,18 @@ _REVIEWS = f"""i AS (SELECT p_brand AS brand, p_partkey AS partkey, regexp_repla
     l AS (SELECT DISTINCT i.brand, partkey, review FROM i JOIN r ON i.brand = r.brand AND (a = b OR (length(a) >= 6 AND contains(b, a)) OR (length(b) >= 6 AND contains(a, b))) WHERE ref - date <= 14)"""
 
 
+def _linked_by(spark: SparkSession, d: str) -> dict[str, object]:
+    return {"items": _items(spark, d), "reviews": _reviews(spark, d), "scope": ["brand"], "key": "partkey", "name": F.col("name"), "launch": "ref", "review": "review", "review_name": F.col("title"), "date": "date"}
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return match.review_links(_items(spark, d), _reviews(spark, d), scope=["brand"], key="partkey", name=F.col("name"), launch="ref", review="review", review_name=F.col("title"), date="date")
+    return match.review_links(**_linked_by(spark, d))
 
 
 @R.add(f"WITH {_REVIEWS} SELECT brand, partkey, count(*) AS reviews, min(review) AS first, max(review) AS last FROM l GROUP BY ALL")
 def review_links(spark: SparkSession, d: str) -> DataFrame:
     """How many reviews each item has: equal names, or the shorter within the longer."""
-    return _links(spark, d).groupBy("brand", "partkey").agg(F.count(F.lit(1)).alias("reviews"), F.min("review").alias("first"), F.max("review").alias("last"))
+    return match.review_counts(**_linked_by(spark, d))
 
 
 @R.add(f"""WITH {_REVIEWS}, o AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.brand = r.brand AND l.review = r.review)),

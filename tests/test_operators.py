@@ -196,3 +196,33 @@ def test_nearest_targets_of_crowded_positions(spark, rows):
     how = {"keys": ["k"], "point": "p", "value": "v", "target": "t", "at": "x", "most": 7.0}
     assert rows(geometry.nearest(p, t, **how)) == sorted(((s, k, None if n else i, d) for (s, k), (d, n, i) in expected.items()), key=lambda r: tuple((x is None, str(x)) for x in r))
     assert "Join" not in geometry.nearest(p, t, **how)._jdf.queryExecution().executedPlan().toString()  # no pairs of points and targets
+
+
+def test_review_counts_without_pairs(spark, rows):
+    import random
+
+    import __spark_entry__ as entry
+
+    rnd = random.Random(3)
+    day = lambda: rnd.choice((None, *(dt.date(2026, 1 + m, 1 + n) for m in range(3) for n in range(0, 28, 5))))
+    names = ["試作しょうが丼", "しょうが丼", "試作 しょうが丼（大）", "ABCDEF", "abc-def", "xabcdefg", "abc", "試作ごま", "", None, "・"]
+    items = [(rnd.choice("cd"), rnd.choice((None, *range(60))), rnd.choice(names), day()) for _ in range(120)] + [(None, 1, "abcdef", None)]
+    reviews = [(rnd.choice("cd"), rnd.choice((None, *range(50))), rnd.choice(names), day()) for _ in range(120)] + [(None, 1, "abcdef", None)]
+    plain = lambda x: None if x is None else x.lower().translate({ord(c): None for c in " -・（）"})
+    pairs = set()
+    for s, i, n, launched in items:
+        for t, r, m, told in reviews:
+            a, b = plain(n), plain(m)
+            alike = s is not None and s == t and a and b and (a == b or (len(a) >= 6 and a in b) or (len(b) >= 6 and b in a))
+            if alike and not (launched and told and (launched - told).days > 14):
+                pairs.add((s, i, r))
+    by = {}
+    for s, i, r in pairs:
+        by.setdefault((s, i), []).append(r)
+    expected = [(s, i, len(r), min((x for x in r if x is not None), default=None), max((x for x in r if x is not None), default=None)) for (s, i), r in by.items()]
+    order = lambda t: tuple((x is None, str(x)) for x in t)
+    a, b = spark.createDataFrame(items, "s string, i int, n string, l date"), spark.createDataFrame(reviews, "s string, r int, m string, d date")
+    how = {"scope": ["s"], "key": "i", "name": F.col("n"), "launch": "l", "review": "r", "review_name": F.col("m"), "date": "d"}
+    assert rows(match.review_links(a, b, **how)) == sorted(pairs, key=order)
+    assert rows(match.review_counts(a, b, **how)) == sorted(expected, key=order)
+    assert "Broadcast" not in entry.queries()["review_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
