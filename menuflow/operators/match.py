@@ -242,12 +242,13 @@ def body_launches(items: DataFrame, articles: DataFrame, found: DataFrame, *, sc
     meet their name's result, so equal names and bodies are no pairs of rows."""
     from menuflow.functions.text import match_key
 
-    open_ = _named(items.join(found.select(*scope, key).distinct(), [*scope, key], "left_anti"), scope, key, name, reference)
-    names = _keyed(open_, scope).where(F.length("_k") >= least)
+    # the names of all items, so that what found is made of isn't planned twice
+    names = _keyed(_named(items, scope, key, name, reference), scope).where(F.length("_k") >= least)
     told = articles.where(F.col(body).rlike(words)).select(*scope, F.col(date).alias("date"), F.col(body).alias("_t")).distinct().withColumn("_t", match_key(F.col("_t")))
     days = _holding(names, told, scope, least).select(*scope, "_k", "date").distinct()
     near = latest_in_window_binned(names, days.hint("merge"), on=[*scope, "_k"], reference="_ref", date="date", before=before, after=after, keys=["_name"], tie=[])
-    return _of_items(open_, near, scope, key, "date")
+    open_ = items.join(found.select(*scope, key).distinct(), [*scope, key], "left_anti")
+    return _of_items(_named(open_, scope, key, name, reference), near, scope, key, "date")
 
 
 def end_notices(items: DataFrame, news: DataFrame, *, scope: Sequence[str], key: str, name: Column, since: str, until: str, title: str, date: str, words: str = "終了") -> DataFrame:
